@@ -48,7 +48,7 @@ def drop_materialized(df: DataFrame) -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of df's size in bytes, for choosing partition counts; needs no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def remainder(col: str | Column, n: int = 5) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, decontaminate, simhash
+from quillspark.llm import bpe, chat, decontaminate, linededup, simhash, syncmers
 from quillspark.llm.common import table
 
 
@@ -21,10 +22,29 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup(table(spark, sf_dir, "documents"), keep_text=False)
+    spans = F.transform("removed", lambda x: F.concat_ws("-", x["start"], x["end"]))
+    return found.withColumn("removed", F.array_join(spans, ","))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary(), keep_ids=False)
 
 
+def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.format_and_read(turns, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -33,5 +53,41 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
+#: The same rows as op8_chat's, by string functions: a turn is its header, the escaped text and the end.
+OP8_SQL = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  sum(length('### ' || role || ': ' || replace(replace(replace(text, '\\', '\\\\'), '### ', '\\### '), '</turn>', '\\</turn>') || '</turn>' || chr(10)))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+#: The same rows as op3_lines's. DuckDB's splitting keeps no offsets, so they come from running sums.
+OP3_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+), units AS (
+  SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS n, len(parts) AS m FROM cut
+), spans AS (
+  SELECT *, length(line) + (n < m)::INT AS size, sum(length(line) + (n < m)::INT) OVER (PARTITION BY doc_id ORDER BY n) AS stop,
+    regexp_replace(trim(regexp_replace(lower(line), '\s+', ' ', 'g')), ' +', ' ', 'g') AS unit FROM units
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id, n) > 1 AND len(string_split(unit, ' ')) >= 8 AS gone FROM spans
+), kept AS (
+  SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, coalesce(sum(size) FILTER (WHERE gone), 0) AS removed_chars,
+    coalesce(string_agg(line || CASE WHEN n < m THEN chr(10) ELSE '' END, '' ORDER BY n) FILTER (WHERE NOT gone), '') AS kept,
+    coalesce(string_agg((stop - size)::INT || '-' || stop::INT, ',' ORDER BY n) FILTER (WHERE gone), '') AS removed
+  FROM ranked GROUP BY doc_id
+)
+SELECT doc_id, length(text)::INT AS n_chars, n_removed::INT AS n_removed, removed_chars::INT AS removed_chars, removed, sha256(kept) AS kept_sha256
+FROM cut JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_lines": OP3_SQL, "op8_chat": OP8_SQL}
