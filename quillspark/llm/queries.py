@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, chat, decontaminate, linededup, simhash, syncmers
+from quillspark.llm import bpe, chat, decontaminate, linededup, simhash, syncmers, warc
 from quillspark.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
