@@ -48,8 +48,12 @@ def chunks(column: pa.Array) -> Iterator[pa.Array]:
         at = to
 
 
-def split(column: pa.Array) -> Batch:
-    """Lower-case A-Z and split at the blanks U+0020 and U+0009 to U+000D; null counts as empty."""
+#: Blanks and all ASCII signs, for words of letters and digits alone.
+SIGNS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def split(column: pa.Array, blank: np.ndarray = _SPACE) -> Batch:
+    """Lower-case A-Z and split at the blanks U+0020 and U+0009 to U+000D, or at the bytes that blank marks; null counts as empty."""
     n = len(column)
     joined = pc.binary_join_element_wise(pc.fill_null(column, "").cast(pa.large_string()), pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string()))
     # each text has the separator after it, so no word spans two texts
@@ -57,7 +61,7 @@ def split(column: pa.Array) -> Batch:
     flat = joined if joined.offset == 0 else pa.concat_arrays([joined])
     data = np.frombuffer(flat.buffers()[2], dtype=np.uint8)[: int(ends[-1]) if n else 0]
     data = _LOWER[data]
-    space = _SPACE[data]
+    space = blank[data]
     inside = ~space
     last = space.copy()
     last[1:] &= inside[:-1]  # the blank that follows a word
@@ -65,7 +69,7 @@ def split(column: pa.Array) -> Batch:
         last[0] = False
     word_doc = np.searchsorted(ends, np.flatnonzero(last), side="right")
     kept = data[inside | last]
-    kept[_SPACE[kept]] = 0x20
+    kept[blank[kept]] = 0x20
     end = np.flatnonzero(kept == 0x20)
     start = np.concatenate([np.zeros(min(1, len(end)), dtype=np.int64), end[:-1] + 1])
     return Batch(kept, start, end, word_doc, np.searchsorted(word_doc, np.arange(n + 1)))
