@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, chat, decontaminate, linededup, simhash, syncmers, toxicity, warc
-from quillspark.llm.common import table
+from quillspark.llm import bpe, chat, decontaminate, linededup, lm, simhash, syncmers, toxicity, warc
+from quillspark.llm.common import remainder, table
 
 
 def vocabulary() -> str:
@@ -18,6 +18,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm.score(table(spark, sf_dir, "documents"), learning=remainder("doc_id") != 1)
+    return found.withColumn("held_out", remainder("doc_id") == 1)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
