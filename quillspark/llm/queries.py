@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, chat, decontaminate, linededup, lm, simhash, syncmers, toxicity, warc
+from quillspark.llm import bpe, chat, decontaminate, linededup, lm, simhash, suffixes, syncmers, toxicity, warc
 from quillspark.llm.common import remainder, table
 
 
@@ -60,6 +60,10 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_and_read(turns, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(table(spark, sf_dir, "documents"), length=400)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
