@@ -124,16 +124,20 @@ class Index:
         return [(text, self.sizes[g].ids[i], *found) for (text, g, i), found in sorted(best.items())]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", item_bytes: int = ITEM_BYTES) -> DataFrame:
-    """A row for each row of docs and item with a window that reaches the similarity: the ids, the best similarity, and where its (first) window lies in words."""
-    kind = dict(docs.dtypes)[id_col]
-    schema = f"`{id_col}` {kind}, `{item_id}` {dict(benchmark.dtypes)[item_id]}, similarity double, first_word int, n_words int"
+def item_blocks(benchmark: DataFrame, item_id: str, item_text: str, item_bytes: int) -> Iterator[list[tuple[object, str]]]:
+    """The items, in blocks of about item_bytes bytes."""
     total = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     blocks = max(1, -(-int(total) // item_bytes))
-    found = None
     for k in range(blocks):
         own = benchmark.where(F.pmod(F.xxhash64(item_id, item_text), F.lit(blocks)) == k) if blocks > 1 else benchmark
-        items = sorted(((r[0], r[1]) for r in own.select(item_id, item_text).where(f"`{item_text}` is not null").toLocalIterator()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        yield sorted(((r[0], r[1]) for r in own.select(item_id, item_text).where(f"`{item_text}` is not null").toLocalIterator()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """A row for each row of docs and item with a window that reaches the similarity: the ids, the best similarity, and where its (first) window lies in words."""
+    schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, `{item_id}` {dict(benchmark.dtypes)[item_id]}, similarity double, first_word int, n_words int"
+    found = None
+    for items in item_blocks(benchmark, item_id, item_text, item_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], items: list = items) -> Iterator[pa.RecordBatch]:
             index = Index(items, words, similarity, radius)
@@ -145,9 +149,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, similari
                     at += len(part)
                     if rows:
                         cols = list(zip(*rows, strict=True))
-                        kinds = [None, None, pa.float64(), pa.int32(), pa.int32()]
-                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols[0]))] + [pa.array(c, type=t) for c, t in zip(cols[1:], kinds[1:], strict=True)], names=[id_col, item_id, "similarity", "first_word", "n_words"])
+                        kinds = [None, pa.float64(), pa.int32(), pa.int32()]
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols[0]))] + [pa.array(c, type=t) for c, t in zip(cols[1:], kinds, strict=True)], names=[id_col, item_id, "similarity", "first_word", "n_words"])
 
         part = docs.select(id_col, text_col).mapInArrow(run, schema)
         found = part if found is None else found.union(part)
     return found
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = RADIUS, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """Whole rows of docs in which no window reaches the similarity to an item."""
+    at_text = docs.columns.index(text_col)
+    for items in item_blocks(benchmark, item_id, item_text, item_bytes):
+
+        def run(batches: Iterator[pa.RecordBatch], items: list = items) -> Iterator[pa.RecordBatch]:
+            index = Index(items, words, similarity, radius)
+            for batch in batches:
+                at = 0
+                for part in W.chunks(batch.column(at_text)):
+                    hit = np.zeros(len(part), dtype=bool)
+                    hit[[r[0] for r in index.search(W.split(part))] if index.sizes else []] = True
+                    yield batch.slice(at, len(part)).filter(pa.array(~hit))
+                    at += len(part)
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -20,7 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import words as W
@@ -32,8 +32,9 @@ PLAN_SAMPLE = 4096
 BLOCK = 20_000
 
 
-def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of whole texts."""
+def fingerprints(docs: DataFrame, shingle: int, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and w0, w1, ... (64 bits each, as signed longs) of whole texts: w0 from the shingles' XXH64, the others from other hashes of it."""
+    names = [f"w{k}" for k in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -41,11 +42,12 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
             for part in W.chunks(batch.column(1)):
                 b = W.split(part)
                 start, end, first = W.shingles(b, shingle)
-                fp = W.majority(W.xxh64(b.data, start, end), first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(fp.view(np.int64))], names=[id_col, "fp"])
+                h = W.xxh64(b.data, start, end)
+                fp = [W.majority(W.mix(h ^ np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))) if k else h, first) for k in range(words)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), *(pa.array(f.view(np.int64)) for f in fp)], names=[id_col, *names])
                 at += len(part)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, fp long")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, " + ", ".join(f"{n} long" for n in names))
 
 
 @dataclass
@@ -136,122 +138,178 @@ def file_keys(fp: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(keys), np.concatenate(who)) if keys else (np.zeros(0, np.uint64), np.zeros(0, int))
 
 
-def forest(group: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Links that connect what is connected within the group: each fingerprint reached is compared with those not yet reached."""
-    a, b, left = [], [], np.unique(group)
+@dataclass
+class Rule:
+    """Fingerprints (rows of words) link if the word `probe` differs in at most radius bits and all words together in at most total."""
+
+    probe: int
+    radius: int
+    total: int
+
+    def near(self, words: np.ndarray, other: np.ndarray) -> np.ndarray:
+        hit = np.bitwise_count(words[:, self.probe] ^ other[..., self.probe]) <= self.radius
+        if words.shape[1] > 1 and hit.any():
+            at = np.flatnonzero(hit)
+            hit[at] = np.bitwise_count(words[at] ^ (other[at] if other.ndim == 2 else other)).sum(axis=1) <= self.total
+        return hit
+
+
+def forest(words: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row numbers) that connect what is connected within the group: each row reached is compared with those not yet reached."""
+    a, b, left = [], [], np.arange(len(words))
     while len(left):
-        stack, left = [left[0]], left[1:]
+        stack, left = [int(left[0])], left[1:]
         while stack and len(left):
             at = stack.pop()
-            near = np.bitwise_count(left ^ at) <= radius
+            near = rule.near(words[left], words[at])
             if near.any():
                 hit = left[near]
                 left = left[~near]
                 a.append(np.full(len(hit), at))
                 b.append(hit)
-                stack.extend(hit)
-    return a, b
+                stack.extend(hit.tolist())
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def meet(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among fingerprints of equal key; key is sorted. Small groups are compared for all keys at once."""
+def meet(key: np.ndarray, words: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row numbers) among rows of equal key; key is sorted. Small groups are compared for all keys at once."""
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
     sizes = np.diff(edge)
-    a, b = [], []
-    small = np.repeat(sizes <= 8, sizes)
-    k, f = key[small], fp[small]
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    small = np.flatnonzero(np.repeat(sizes <= 8, sizes))
+    k = key[small]
     for d in range(1, 8):
         if len(k) > d:
-            hit = (k[d:] == k[:-d]) & (f[d:] != f[:-d])
-            hit[hit] = np.bitwise_count(f[d:][hit] ^ f[:-d][hit]) <= radius
-            a.append(f[:-d][hit])
-            b.append(f[d:][hit])
+            at = np.flatnonzero(k[d:] == k[:-d])
+            hit = at[rule.near(words[small[at]], words[small[at + d]])] if len(at) else at
+            a.append(small[hit])
+            b.append(small[hit + d])
     for g in np.flatnonzero(sizes > 8):
-        x, y = forest(fp[edge[g] : edge[g + 1]], radius)
-        a += x
-        b += y
-    none = np.zeros(0, np.uint64)
-    return np.concatenate([none, *a]), np.concatenate([none, *b])
+        x, y = forest(words[edge[g] : edge[g + 1]], rule)
+        a.append(x + edge[g])
+        b.append(y + edge[g])
+    return np.concatenate(a), np.concatenate(b)
+
 
+def links(fps: DataFrame, radius: int, total: int | None = None, probes: int = 1, block: int = BLOCK) -> DataFrame:
+    """fps: distinct fingerprints, a number `node` and words w0, w1, ... Returns links a, b (nodes) that connect all that lie near each other.
 
-def links(fps: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
-    """fps: distinct fingerprints (fp). Returns links a, b that connect all that lie within the radius of each other."""
+    Near means: one of the first `probes` words differs in at most radius bits, and all words together in at most total.
+    """
+    names = [c for c in fps.columns if c.startswith("w")]
     n = fps.count()
-    sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp")).limit(PLAN_SAMPLE).collect()], dtype=np.int64).view(np.uint64)
-    plan = make_plan(sample, n, radius)
+    sample = np.array([tuple(r) for r in fps.select(*names).orderBy(F.xxhash64(*names)).limit(PLAN_SAMPLE).collect()], dtype=np.int64).view(np.uint64).reshape(-1, len(names))
+    found = None
+    for probe in range(probes):
+        some = _links(fps, make_plan(sample[:, probe], n, radius), Rule(probe, radius, radius if total is None else total), names, n, block)
+        found = some if found is None else found.union(some)
+    return found
+
+
+def _links(fps: DataFrame, plan: Plan, rule: Rule, names: list[str], n: int, block: int) -> DataFrame:
+    fields = "node long, " + ", ".join(f"{c} long" for c in names)
+
+    def matrix(batch: pa.RecordBatch | pa.Table, first: int) -> np.ndarray:
+        return np.stack([batch.column(first + i).to_numpy() for i in range(len(names))], axis=1).view(np.uint64) if batch.num_rows else np.zeros((0, len(names)), np.uint64)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
-                fp = part.column(0).to_numpy().view(np.uint64)
-                key, who = file_keys(fp, plan)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fp[who].view(np.int64))], names=["key", "fp"])
+                words = matrix(part, 1)
+                key, who = file_keys(words[:, rule.probe], plan)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(c.take(pa.array(who)) for c in part.columns)], names=["key", "node", *names])
+
+    def rows(a: np.ndarray, b: np.ndarray, words: np.ndarray | None = None, key: int | None = None, number: int = 0) -> pa.RecordBatch:
+        extra = [pa.array(words[:, i].view(np.int64)) if words is not None else pa.nulls(len(a), pa.int64()) for i in range(len(names))]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([key] * len(a), pa.int64()), pa.array(np.full(len(a), number), pa.int32()), *extra], names=["a", "b", "key", "block", *names])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key. A group beyond one block goes on as rows with its key and a block number."""
-        held_key, held_fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        blocks: dict[int, int] = {}
+        key, node, words = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(names)), np.uint64)
+        large, number = None, 0
 
-        def out(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            a, b = meet(key, fp.view(np.uint64), radius)
-            return rows(a.view(np.int64), b.view(np.int64))
-
-        def rows(a: np.ndarray, b: np.ndarray, key: int | None = None, number: int = 0) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([key] * len(a), pa.int64()), pa.array(np.full(len(a), number), pa.int32())], names=["a", "b", "key", "block"])
+        def settled(end: int) -> pa.RecordBatch:
+            a, b = meet(key[:end], words[:end], rule)
+            return rows(node[a], node[b])
 
         for batch in batches:
-            held_key = np.concatenate([held_key, batch.column(0).to_numpy()])
-            held_fp = np.concatenate([held_fp, batch.column(1).to_numpy()])
-            last = held_key[-1] if len(held_key) else None
-            cut = int(np.searchsorted(held_key == last, True)) if len(held_key) else 0
-            if cut and held_key[0] in blocks:  # the end of a group that began in an earlier block
-                end = int(np.searchsorted(held_key != held_key[0], True))
-                yield rows(held_fp[:end], held_fp[:end], int(held_key[0]), blocks[held_key[0]])
-                held_key, held_fp, cut = held_key[end:], held_fp[end:], cut - end
+            if not batch.num_rows:
+                continue
+            key, node = np.concatenate([key, batch.column(0).to_numpy()]), np.concatenate([node, batch.column(1).to_numpy()])
+            words = np.concatenate([words, matrix(batch, 2)])
+            if large is not None:  # the group goes on from the batch before
+                end = len(key) if key[-1] == large else int(np.argmax(key != large))
+                for at in range(0, end, block):
+                    yield rows(node[at : min(end, at + block)], node[at : min(end, at + block)], words[at : min(end, at + block)], large, number)
+                    number += 1
+                key, node, words = key[end:], node[end:], words[end:]
+                if not len(key):
+                    continue
+                large = None
+            cut = int(np.argmax(key == key[-1]))
             if cut:
-                yield out(held_key[:cut], held_fp[:cut])
-                held_key, held_fp = held_key[cut:], held_fp[cut:]
-            while len(held_key) > block:
-                number = blocks[last] = blocks.get(last, -1) + 1
-                yield rows(held_fp[:block], held_fp[:block], int(last), number)
-                held_key, held_fp = held_key[block:], held_fp[block:]
-                blocks[last] = number + 1
-        if len(held_key):
-            if held_key[0] in blocks:
-                yield rows(held_fp, held_fp, int(held_key[0]), blocks[held_key[0]])
-            else:
-                yield out(held_key, held_fp)
+                yield settled(cut)
+                key, node, words = key[cut:], node[cut:], words[cut:]
+            if len(key) > block:
+                large, number = int(key[-1]), 0
+                for at in range(0, len(key), block):
+                    yield rows(node[at : at + block], node[at : at + block], words[at : at + block], large, number)
+                    number += 1
+                key, node, words = key[:0], node[:0], words[:0]
+        if len(key):
+            yield settled(len(key))
 
     def block_pair(_: tuple, group: pa.Table) -> pa.Table:
-        a, b = forest(group.column("a").to_numpy().view(np.uint64), radius)
-        none = np.zeros(0, np.uint64)
-        return pa.table({"a": np.concatenate([none, *a]).view(np.int64), "b": np.concatenate([none, *b]).view(np.int64)})
+        node = group.column("a").to_numpy()
+        a, b = forest(np.stack([group.column(c).to_numpy() for c in names], axis=1).view(np.uint64), rule)
+        return pa.table({"a": node[a], "b": node[b]})
 
-    filed = fps.mapInArrow(file, "key long, fp long")
+    filed = fps.select("node", *names).mapInArrow(file, "key long, " + fields)
     parts = max(12, n // 20_000)
-    met = materialize(filed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long, key long, block int"), "met")
+    met = materialize(filed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long, key long, block int, " + ", ".join(f"{c} long" for c in names)), "met")
     found = met.where("key is null").select("a", "b")
     large = met.where("key is not null")
     if large.limit(1).count():
         count = large.groupBy("key").agg((F.max("block") + 1).alias("blocks"))
-        pairs = large.join(count, "key").select("key", "a", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        pairs = pairs.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "a")
+        pairs = large.join(count, "key").select("key", "a", *names, "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        pairs = pairs.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "a", *names)
         found = found.union(pairs.groupBy("key", "x", "y").applyInArrow(block_pair, "a long, b long"))
     return found
 
 
-def classes(fps: DataFrame, radius: int, id_col: str = "doc_id") -> DataFrame:
-    """fps: id and fp by row. Adds component_id, the smallest id reachable over links within the radius."""
-    by_fp = materialize(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "fps")
-    roots = components(links(by_fp.select("fp"), radius))
-    rooted = by_fp.join(roots, by_fp["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+def classes(fps: DataFrame, radius: int, total: int | None = None, probes: int = 1, id_col: str = "doc_id") -> DataFrame:
+    """fps: id and words w0, ... by row. Adds component_id, the smallest id reachable over links. Fingerprints of several words are known by a 64-bit hash of them."""
+    names = [c for c in fps.columns if c.startswith("w")]
+    marked = fps.withColumn("node", F.col("w0") if len(names) == 1 else F.xxhash64(*names))
+    distinct = materialize(marked.groupBy("node", *names).agg(F.min(id_col).alias("least")), "fps")
+    roots = components(links(distinct.drop("least"), radius, total, probes)).withColumnRenamed("node", "of")
+    rooted = distinct.join(roots, distinct["node"] == roots["of"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     rooted = materialize(rooted, "rooted")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(rooted.join(smallest, "root").select("fp", "component_id"), "fp", "left")
+    return marked.join(rooted.join(smallest, "root").select("node", "component_id"), "node", "left")
+
+
+def bits_at(similarity: float, bits: int) -> int:
+    """Bits in which two fingerprints differ on average, if their shingle sets are of equal size and have this Jaccard similarity."""
+    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def thin(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 4, probes: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Whole rows of docs, one document of each group of near-duplicates, that of the smallest id; the similarity is estimated on `words` fingerprints.
+
+    Rows of one id stand or fall together; of equal rows one stays. Rows with a null id stay.
+    """
+    fps = materialize(fingerprints(docs, shingle, words, id_col, text_col), "fingerprints")
+    found = classes(fps, bits_at(similarity, 64), bits_at(similarity, 64 * words), probes, id_col)
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone")).distinct()
+    left = docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
+    place = Window.partitionBy(id_col, text_col).orderBy(F.lit(0))
+    return left.withColumn("place", F.row_number().over(place)).where("place = 1 or `%s` is null" % id_col).drop("place")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, its fingerprint in hexadecimal digits, and component_id."""
-    fps = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    found = classes(fps, radius, id_col)
-    return found.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fps = materialize(fingerprints(docs, shingle, 1, id_col, text_col), "fingerprints")
+    found = classes(fps, radius, id_col=id_col)
+    return found.select(id_col, F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")

@@ -315,3 +315,41 @@ def dedup(docs: DataFrame, length: int = 400, seed: int = SEED, id_col: str = "d
     found = rows.join(done, ["k1", "k2"], "left")
     cols = [F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256")]
     return found.select(*cols, *(["k1", "k2", "kept"] if keep_bytes else []))
+
+
+def cut_text(docs: DataFrame, length: int = 400, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """Whole rows of docs with the repeated strings cut from their texts. Where a cut goes through a character, its other bytes go too; a count of code points in chars_col follows the text."""
+    seed = min(seed, max(1, length // 2))
+    rows = materialize(keyed(docs, id_col, text_col), "texts")
+    spans = materialize(removed(docs, length, seed, id_col, text_col, rows, GROUP_BYTES), "spans")
+    lost = rows.join(spans, ["k1", "k2"]).select(F.col("id").alias("loser"), F.struct("k1", "k2", "removed").alias("lost")).groupBy("loser").agg(F.collect_set("lost").alias("lost"))
+    joined = docs.join(lost, F.col(id_col).eqNullSafe(F.col("loser")), "left").drop("loser")
+    names = docs.columns
+    at_text = names.index(text_col)
+    at_chars = names.index(chars_col) if chars_col in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                texts = part.column(at_text).to_pylist()
+                counts = part.column(at_chars).to_pylist() if at_chars is not None else []
+                for i, lost in enumerate(part.column(part.num_columns - 1).to_pylist()):
+                    if not lost:
+                        continue
+                    data = (texts[i] or "").encode()
+                    own = next((x["removed"] for x in lost if (x["k1"], x["k2"]) == text_key(data)), [])
+                    if own:
+                        kept, at = [], 0
+                        for s in own:
+                            kept.append(data[at : s["start"]].decode(errors="ignore"))
+                            at = s["end"]
+                        texts[i] = "".join([*kept, data[at:].decode(errors="ignore")])
+                        if counts:
+                            counts[i] = len(texts[i])
+                cols = list(part.columns[:-1])
+                cols[at_text] = pa.array(texts, pa.string())
+                if at_chars is not None:
+                    cols[at_chars] = pa.array(counts, cols[at_chars].type)
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return joined.select(*docs.columns, "lost").mapInArrow(run, docs.schema)

@@ -216,3 +216,8 @@ def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     """Whole rows of docs with scores; rows whose crc32(doc_id as text) mod 5 is 0 are held out from learning."""
     model = train(docs, labels, per_class, learned=remainder("doc_id") != 0)
     return score(docs, model).withColumn("held_out", remainder("doc_id") == 0)
+
+
+def reject(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+    """Whole rows of docs without those that reach their language's threshold."""
+    return classify(docs, labels, per_class).where("not flagged").select(*docs.columns)
