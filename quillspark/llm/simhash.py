@@ -295,13 +295,16 @@ def bits_at(similarity: float, bits: int) -> int:
     return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def thin(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 4, probes: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Whole rows of docs, one document of each group of near-duplicates, that of the smallest id; the similarity is estimated on `words` fingerprints.
+def thin(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Whole rows of docs, one document of each group of near-duplicates, that of the smallest id; the similarity is estimated on `words` fingerprints of 64 bits.
+
+    Where all words together differ in few enough bits, one of them differs in at most its share; so each is probed with that radius.
 
     Rows of one id stand or fall together; of equal rows one stays. Rows with a null id stay.
     """
     fps = materialize(fingerprints(docs, shingle, words, id_col, text_col), "fingerprints")
-    found = classes(fps, bits_at(similarity, 64), bits_at(similarity, 64 * words), probes, id_col)
+    total = bits_at(similarity, 64 * words)
+    found = classes(fps, total // words, total, words, id_col)
     gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone")).distinct()
     left = docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
     place = Window.partitionBy(id_col, text_col).orderBy(F.lit(0))
