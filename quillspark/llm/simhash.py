@@ -28,6 +28,12 @@ from quillspark.llm.common import materialize
 from quillspark.llm.components import components
 
 PLAN_SAMPLE = 4096
+#: What verifying a pair costs, measured in keys filed, dealt out and sorted.
+PAIR_COST = 0.003
+#: Keys that a task compares, about.
+TASK_KEYS = 400_000
+#: A group of up to this many fingerprints is compared at once, all with all, as long as few of them are near.
+SQUARE = 1024
 #: A group of more fingerprints than this under one key is split into blocks, and the blocks' pairs are dealt out.
 BLOCK = 20_000
 
@@ -115,7 +121,7 @@ def make_plan(sample: np.ndarray, n: int, radius: int, most: int = 2) -> Plan:
             ones = np.array([((sample >> np.uint64(b)) & np.uint64(1)).mean() if len(sample) else 0.5 for b in bits])
             pairs = within(ones, most) * n * max(n - 1, 0) / 2
             keys = np.cumsum([n * float(np.prod([ones.sum() - x for x in range(t)]) / max(1, np.prod(np.arange(1, t + 1)))) for t in range(most + 1)])
-            cost[i, 1:] = keys + 0.1 * pairs
+            cost[i, 1:] = keys + PAIR_COST * pairs
         total, limits = allocate(cost, radius + 1)
         if np.isfinite(total) and (best is None or total < best[0]):
             best = (total, Plan(parts, limits))
@@ -156,6 +162,13 @@ class Rule:
 
 def forest(words: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     """Links (row numbers) that connect what is connected within the group: each row reached is compared with those not yet reached."""
+    if len(words) <= SQUARE:
+        near = np.bitwise_count(words[:, rule.probe][:, None] ^ words[:, rule.probe][None, :]) <= rule.radius
+        if np.count_nonzero(near) <= 8 * len(words):
+            x, y = np.nonzero(near)
+            x, y = x[x < y], y[x < y]
+            kept = rule.near(words[x], words[y])
+            return x[kept], y[kept]
     a, b, left = [], [], np.arange(len(words))
     while len(left):
         stack, left = [int(left[0])], left[1:]
@@ -202,12 +215,14 @@ def links(fps: DataFrame, radius: int, total: int | None = None, probes: int = 1
     sample = np.array([tuple(r) for r in fps.select(*names).orderBy(F.xxhash64(*names)).limit(PLAN_SAMPLE).collect()], dtype=np.int64).view(np.uint64).reshape(-1, len(names))
     found = None
     for probe in range(probes):
-        some = _links(fps, make_plan(sample[:, probe], n, radius), Rule(probe, radius, radius if total is None else total), names, n, block)
+        plan = make_plan(sample[:, probe], n, radius)
+        keys = n * len(file_keys(sample[:, probe], plan)[0]) // max(1, len(sample))
+        some = _links(fps, plan, Rule(probe, radius, radius if total is None else total), names, max(12, keys // TASK_KEYS), block)
         found = some if found is None else found.union(some)
     return found
 
 
-def _links(fps: DataFrame, plan: Plan, rule: Rule, names: list[str], n: int, block: int) -> DataFrame:
+def _links(fps: DataFrame, plan: Plan, rule: Rule, names: list[str], parts: int, block: int) -> DataFrame:
     fields = "node long, " + ", ".join(f"{c} long" for c in names)
 
     def matrix(batch: pa.RecordBatch | pa.Table, first: int) -> np.ndarray:
@@ -266,7 +281,6 @@ def _links(fps: DataFrame, plan: Plan, rule: Rule, names: list[str], n: int, blo
         return pa.table({"a": node[a], "b": node[b]})
 
     filed = fps.select("node", *names).mapInArrow(file, "key long, " + fields)
-    parts = max(12, n // 20_000)
     met = materialize(filed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long, key long, block int, " + ", ".join(f"{c} long" for c in names)), "met")
     found = met.where("key is null").select("a", "b")
     large = met.where("key is not null")
