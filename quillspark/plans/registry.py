@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import relational
+from quillspark.plans import kernel, relational
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(relational.QUERIES)
+    return {**relational.QUERIES, **kernel.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(relational.ORACLES)
+    return {**relational.ORACLES, **kernel.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.warning_histogram(spark, sf_dir)
+    return kernel.kernel_histogram(spark, sf_dir)
