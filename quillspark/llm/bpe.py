@@ -169,7 +169,7 @@ class Encoder:
         if text.isascii():
             return WORD.findall(text.lower())
         if USUAL.fullmatch(text):
-            return WORD.findall(unicodedata.normalize("NFC", text).lower())
+            return WORD.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())  # lower() knows a final sigma, the vocabulary's normalizer doesn't
         if self.library is None:
             import tokenizers
 

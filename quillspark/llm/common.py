@@ -47,13 +47,17 @@ def drop_materialized(df: DataFrame) -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of df's size in bytes, for choosing partition counts; needs no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """The optimizer's estimate of df's size in bytes, for choosing partition counts; where it has none, the strings' length."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size < 1 << 55:
+        return size
+    texts = [F.sum(F.octet_length(c)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    return sum(x or 0 for x in df.agg(*texts).first()) if texts else 0
 
 
 def remainder(col: str | Column, n: int = 5) -> Column:
     """crc32 of the id as text, mod n: the folds that the contracts name. A null id counts as the empty text."""
-    return F.pmod(F.crc32(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("string").cast("binary")), F.lit(n))
+    return F.pmod(F.crc32(F.coalesce((F.col(col) if isinstance(col, str) else col).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
 def strings(column: pa.Array | pa.ChunkedArray) -> list[str]:
