@@ -1,6 +1,7 @@
 """Toxicity by a convolutional text classifier in numpy.
 
-Words (runs of letters and digits, A-Z lower-cased) are hashed to rows of an embedding table; filters of several widths
+Words (runs of letters and digits, A-Z lower-cased) and their first PREFIX bytes are hashed to rows of an embedding
+table, and the two rows added, so that inflected forms share what they begin with; filters of several widths
 slide over the whole text, the strongest response of each filter is kept, and a logistic layer scores them. Training is
 by Adagrad on a bounded sample of labelled rows (`per_class` of each label, by order of a hash of the id), with the
 classes' true shares restored in the bias. One threshold per language is calibrated on a fifth of that sample that the
@@ -27,14 +28,15 @@ from quillspark.llm.common import remainder
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 16, 8, (1, 2, 3)
 #: Labelled rows of each class that training takes at most.
 PER_CLASS = 3000
-PAD = max(WIDTHS) - 1
+PAD, PREFIX = max(WIDTHS) - 1, 4
 
 
 def word_buckets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Embedding rows of all words, with PAD empty ones (number BUCKETS) after each text, and where each text starts (their end at last)."""
+    """Embedding rows (of the word and of its beginning) of all words, with PAD empty ones (number BUCKETS) after each text, and where each text starts (their end at last)."""
     b = W.split(column, W.SIGNS)
-    rows = (W.xxh64(b.data, b.start, b.end) & np.uint64(BUCKETS - 1)).astype(np.int32)
-    out = np.full(len(rows) + PAD * b.docs, BUCKETS, dtype=np.int32)
+    both = W.xxh64(b.data, b.start, b.end), W.xxh64(b.data, b.start, np.minimum(b.end, b.start + PREFIX), seed=7)
+    rows = (np.stack(both, axis=1) & np.uint64(BUCKETS - 1)).astype(np.int32)
+    out = np.full((len(rows) + PAD * b.docs, 2), BUCKETS, dtype=np.int32)
     out[np.arange(len(rows)) + PAD * b.doc] = rows
     return out, b.first + PAD * np.arange(b.docs + 1)
 
@@ -66,11 +68,12 @@ class Model:
     def scores(self, words: np.ndarray, first: np.ndarray, parts: list[np.ndarray]) -> np.ndarray:
         """Scores of texts as word_buckets() gives them."""
         pooled = []
-        padded = np.concatenate([words, np.full(PAD, BUCKETS, np.int32)])
+        n = len(words)
         for w, part in zip(WIDTHS, parts, strict=True):
-            y = part[words, :FILTERS]
+            every = part[words[:, 0]] + part[words[:, 1]]
+            y = every[:, :FILTERS]
             for j in range(1, w):
-                y += part[padded[j : j + len(words)], j * FILTERS : (j + 1) * FILTERS]
+                y[: n - j] += every[j:, j * FILTERS : (j + 1) * FILTERS]  # past the end there is only padding, which adds nothing
             pooled.append(np.maximum.reduceat(y, first[:-1], axis=0) if len(first) > 1 else np.zeros((0, FILTERS), np.float32))
         strongest = np.maximum(np.concatenate(pooled, axis=1) + self.bias, 0)
         return 1 / (1 + np.exp(-(strongest.astype(np.float64) @ self.out + self.out_bias)))
@@ -94,8 +97,8 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, shares: tuple[float, float]
             windows, inputs, pooled = [], [], np.zeros((n, FILTERS * len(WIDTHS)), np.float32)
             sizes = np.array([len(texts[i]) for i in chosen])
             first = np.concatenate([[0], np.cumsum(sizes)])
-            words = np.concatenate([*(texts[i] for i in chosen), np.full(PAD, BUCKETS, np.int32)])
-            e = m.table[words]
+            words = np.concatenate([*(texts[i] for i in chosen), np.full((PAD, 2), BUCKETS, np.int32)])
+            e = m.table[words[:, 0]] + m.table[words[:, 1]]
             for g, (w, f) in enumerate(zip(WIDTHS, m.filters, strict=True)):
                 y = e[: first[-1]] @ f[0]
                 for j in range(1, w):
@@ -117,8 +120,9 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, shares: tuple[float, float]
             rows, grads = [], []
             for g, (w, f) in enumerate(zip(WIDTHS, m.filters, strict=True)):
                 own = g_pool[:, g * FILTERS : (g + 1) * FILTERS]
-                rows.append(windows[g].reshape(-1))
-                grads.append((own[:, :, None, None] * f.transpose(2, 0, 1)[None]).reshape(-1, DIM))
+                grad = (own[:, :, None, None] * f.transpose(2, 0, 1)[None]).reshape(-1, DIM)
+                rows += [windows[g][..., 0].reshape(-1), windows[g][..., 1].reshape(-1)]
+                grads += [grad, grad]
                 step(f"f{w}", f, np.einsum("nf,nfwd->wdf", own, inputs[g]))
             rows, grads = np.concatenate(rows), np.concatenate(grads)
             live = (rows < BUCKETS) & np.any(grads != 0, axis=1)
@@ -174,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, learne
         share = counts.get(1, 0) / total if total else 0.0
         m.out[:], m.out_bias = 0, float(np.clip(np.log(max(share, 1e-300) / max(1 - share, 1e-300)), -700, 700))
         return m
-    texts, langs = [np.frombuffer(r["words"], np.int32) for r in rows], [r["lang"] for r in rows]
+    texts, langs = [np.frombuffer(r["words"], np.int32).reshape(-1, 2) for r in rows], [r["lang"] for r in rows]
     shares = (counts.get(0, 0) / max(1, (1 - y).sum()), counts.get(1, 0) / max(1, y.sum()))
     unseen = np.arange(len(y)) % 5 == 2
     m = fit([t for t, u in zip(texts, unseen, strict=True) if not u], y[~unseen], shares)
@@ -182,7 +186,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, learne
     if held and 0 < y[unseen].sum() < unseen.sum():
         parts, first = m.prepare(), np.concatenate([[0], np.cumsum([len(t) for t in held])])
         s = m.scores(np.concatenate(held), first, parts)
-        m.thresholds = calibrate(m, s, y[unseen], [x for x, u in zip(langs, unseen, strict=True) if u])
+        cuts = calibrate(m, s, y[unseen], [x for x, u in zip(langs, unseen, strict=True) if u])
+        # move the common threshold to a score of 0.5
+        logit = {k: float(np.log(t / (1 - t))) for k, t in ((k, np.clip(t, 1e-9, 1 - 1e-9)) for k, t in cuts.items())}
+        m.out_bias -= logit[""]
+        m.thresholds = {k: float(1 / (1 + np.exp(logit[""] - t))) for k, t in logit.items()}
     return m
 
 
