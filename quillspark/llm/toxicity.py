@@ -79,9 +79,10 @@ class Model:
         return 1 / (1 + np.exp(-(strongest.astype(np.float64) @ self.out + self.out_bias)))
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, shares: tuple[float, float], epochs: int = 6, batch: int = 32, rate: float = 0.1, seed: int = 7) -> Model:
+def fit(texts: list[np.ndarray], labels: np.ndarray, shares: tuple[float, float], epochs: int | None = None, batch: int = 32, rate: float = 0.1, seed: int = 7) -> Model:
     """texts: each with its padding. shares: rows in the corpus for each row in the sample, of label 0 and 1."""
     m, r = Model.fresh(seed), np.random.default_rng(seed)
+    epochs = epochs or int(np.clip(800 * batch / len(texts), 6, 40))  # few texts are seen more often
     sums = {k: np.full(v.shape, 1e-4, np.float32) for k, v in {"table": m.table, "bias": m.bias, "out": m.out, **{f"f{w}": f for w, f in zip(WIDTHS, m.filters, strict=True)}}.items()}
     bias_sum = 1e-4
     weight = np.where(labels == 1, len(labels) / max(1, 2 * labels.sum()), len(labels) / max(1, 2 * (1 - labels).sum())).astype(np.float32)
