@@ -23,6 +23,10 @@ TRANSPARENT = {"center", "flushleft", "flushright", "quote", "quotation", "minip
 THEOREMS = {"theorem": "Theorem", "lemma": "Lemma", "corollary": "Corollary", "proposition": "Proposition", "definition": "Definition", "remark": "Remark", "example": "Example"}
 CITES = {"cite": "", "citep": "", "parencite": "", "autocite": "", "citet": "prose", "textcite": "prose", "citeauthor": "author", "citeyear": "year"}
 REFS = {"ref", "cref", "Cref", "autoref", "eqref", "pageref", "nameref", "vref"}
+# Units by name, prefixes by name.
+UNITS = {"meter": "m", "metre": "m", "second": "s", "gram": "g", "kilogram": "kg", "ampere": "A", "kelvin": "K", "mole": "mol", "candela": "cd", "hertz": "Hz", "newton": "N", "pascal": "Pa", "joule": "J", "watt": "W", "volt": "V", "ohm": "Ω", "tesla": "T", "liter": "L", "litre": "L", "degree": "°", "celsius": "°C", "percent": "%", "electronvolt": "eV", "bit": "bit", "byte": "B", "hour": "h", "minute": "min", "day": "d"}
+PREFIXES = {"nano": "n", "micro": "µ", "milli": "m", "centi": "c", "kilo": "k", "mega": "M", "giga": "G", "tera": "T"}
+COUNTERS = {"thepage": "page", "thesection": "heading", "thefigure": "figure", "thetable": "figure.where(kind: table)", "theequation": "math.equation"}
 LENGTH = re.compile(r"-?[\d.]+\s*(?:pt|em|cm|mm|in)")
 
 
@@ -94,6 +98,7 @@ class Converter:
         self.macros = dict(seeds or {})
         self.r = Result("", [], [], False)
         self.seen: set[str] = set()
+        self.flags: dict[str, bool] = {}
         self.depth = self.expansions = 0
         self.base = 0  # where an expansion stands in the source
         self.whole = False
@@ -240,6 +245,38 @@ class Converter:
         if name in ("bibliography", "addbibresource"):
             paths = [p.strip() + ("" if p.strip().endswith(".bib") else ".bib") for p in self.flat(s.argument()).split(",")]
             return f'#bibliography("{paths[0]}")' if len(paths) == 1 else "#bibliography((" + ", ".join(f'"{p}"' for p in paths) + "))"
+        if name in ("multicolumn", "multirow"):
+            count = self.flat(s.argument()).strip()
+            s.argument()
+            span = "colspan" if name == "multicolumn" else "rowspan"
+            return f"table.cell({span}: {count if count.isdigit() else 1})[{self.text(s.argument() or []).strip()}]"
+        if name in ("SI", "qty", "si", "unit", "num", "ang"):
+            s.option()
+            number = self.flat(s.argument()) if name not in ("si", "unit") else ""
+            unit = self.units(s.argument() or []) if name in ("SI", "qty", "si", "unit") else "°" * (name == "ang")
+            return number + ("\u202f" if number and unit and unit != "°" else "") + unit
+        if name in COUNTERS:
+            return f"#context counter({COUNTERS[name]}).display()"
+        if name == "newif":
+            flag = self.flat(s.argument()).removeprefix("\\if")
+            self.flags[flag] = False
+            return ""
+        if name.endswith(("true", "false")) and re.sub("(true|false)$", "", name) in self.flags:
+            self.flags[re.sub("(true|false)$", "", name)] = name.endswith("true")
+            return ""
+        if name.startswith("if") and name[2:] in self.flags:
+            return self.text(self.branch(s, self.flags[name[2:]]))
+        if name == "makecell":
+            s.option()
+            return self.text(s.argument() or [])
+        if name == "ensuremath":
+            return f"${self.math(s.argument() or []).strip()}$"
+        if name == "DeclarePairedDelimiter":
+            called, left, right = self.flat(s.argument()).lstrip("\\"), self.flat(s.argument()), self.flat(s.argument())
+            self.macros[called] = (1, None, f"{left} #1 {right}")
+            return ""
+        if name == "frametitle":
+            return f"== {self.text(s.argument() or []).strip()}\n\n"
         if name in ("textcolor", "colorbox"):
             s.option()
             s.argument()
@@ -263,6 +300,43 @@ class Converter:
             s.at += 1
         return ""
 
+    def units(self, nodes: list[Node]) -> str:
+        """Names of units joined; \\per starts what is divided by, \\squared and \\cubed are exponents."""
+        out, prefix = "", ""
+        for n in nodes:
+            if n.kind == "text":
+                out += n.text
+            elif n.kind == "command":
+                if n.text in PREFIXES:
+                    prefix = PREFIXES[n.text]
+                elif n.text in ("per", "squared", "cubed"):
+                    out += {"per": "/", "squared": "²", "cubed": "³"}[n.text]
+                else:
+                    space = " " if out and out[-1] not in "/ " else ""
+                    out += space + prefix + UNITS.get(n.text, n.text)
+                    prefix = ""
+        return out
+
+    def branch(self, s: Stream, taken: bool) -> list[Node]:
+        """The nodes of the branch that is taken, up to the matching \\fi."""
+        depth, kept, active = 0, [], taken
+        while s.at < len(s.nodes):
+            n = s.nodes[s.at]
+            s.at += 1
+            if n.kind == "command":
+                if n.text.startswith("if") and (n.text[2:] in self.flags or n.text in ("ifnum", "ifx", "ifdim", "iftrue", "iffalse")):
+                    depth += 1
+                elif n.text == "fi":
+                    if not depth:
+                        return kept
+                    depth -= 1
+                elif n.text == "else" and not depth:
+                    active = not taken
+                    continue
+            if active:
+                kept.append(n)
+        return kept
+
     def section(self, n: Node, s: Stream) -> str:
         level, starred = LEVELS[n.text.rstrip("*")], n.text.endswith("*")
         s.option()
@@ -408,6 +482,11 @@ class Converter:
             option = s.option()
             head = self.text(option) if option else "Proof"
             return f"*{head}.* {self.text(s.nodes[s.at:]).strip()} #h(1fr) $square$\n\n"
+        if name == "frame":
+            s.option()
+            title = s.argument() if s.blanks() < len(s.nodes) and s.nodes[s.blanks()].kind == "group" else None
+            head = f"== {self.text(title).strip()}\n\n" if title else ""
+            return f"#pagebreak(weak: true)\n{head}{self.text(s.nodes[s.at :]).strip()}\n\n"
         if name == "thebibliography":
             s.argument()
             return self.text(s.nodes[s.at :])
@@ -474,13 +553,14 @@ class Converter:
         inside, self.in_figure = self.in_figure, False
         rows = self.split(s.nodes[s.at :], self.text)
         self.in_figure = inside
-        width = max([1, *map(len, rows)])
+        width = max([1, *(len(row) + sum(int(n) - 1 for n in re.findall(r"table\.cell\(colspan: (\d+)\)", " ".join(row))) for row in rows)])
         aligns = (aligns + ["left"] * width)[:width]
         lines = [f"  columns: {width},", f"  align: ({', '.join(aligns)},)," if width == 1 else f"  align: ({', '.join(aligns)}),", "  stroke: none,"]
         for i, row in enumerate(rows):
             if rules and i < 2:
                 lines.append("  table.hline(),")
-            lines.append("  " + ", ".join(f"[{c}]" for c in row + [""] * (width - len(row))) + ",")
+            spanned = sum(int(m[1]) - 1 for c in row if (m := re.match(r"table\.cell\(colspan: (\d+)\)", c)))
+            lines.append("  " + ", ".join(c if c.startswith("table.cell(") else f"[{c}]" for c in row + [""] * (width - len(row) - spanned)) + ",")
         if rules and rows:
             lines.append("  table.hline(),")
         return "table(\n" + "\n".join(lines) + "\n)"
@@ -646,6 +726,18 @@ class Converter:
         if name in ("phantom", "hphantom", "vphantom"):
             s.argument()
             return ""
+        if name == "substack":
+            return " \\\n".join(" ".join(row) for row in self.split(s.argument() or [], self.math))
+        if name in ("nicefrac", "sfrac"):
+            a, b = self.two(s)
+            return f"{a} slash {b}"
+        if name in ("xrightarrow", "xleftarrow"):
+            s.option()
+            return f'attach({"->" if name == "xrightarrow" else "<-"}, t: {self.math(s.argument() or []).strip()})'
+        if name in ("ensuremath",):
+            return self.math(s.argument() or [])
+        if name.startswith("if") and name[2:] in self.flags:
+            return self.math(self.branch(s, self.flags[name[2:]]))
         if name in S.DROPPED:
             return ""
         if shown := S.symbol(name):

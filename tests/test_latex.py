@@ -31,6 +31,12 @@ CASES = [
     (r"\begin{figure}\includegraphics[width=0.5\textwidth]{a.png}\caption{C}\label{f}\end{figure}", '#figure(\n  image("a.png", width: 50%),\n  caption: [C],\n) <f>\n', []),
     (r"\begin{proof}x\end{proof}", "*Proof.* x #h(1fr) $square$\n", []),
     (r"\bibliography{a,b}", '#bibliography(("a.bib", "b.bib"))\n', []),
+    (r"\SI{3}{\kilo\meter\per\second\squared} \ang{45} \num{7}", "3\u202fkm/s² 45° 7\n", []),
+    (r"\newif\ifdraft \draftfalse\ifdraft a\else b\fi \drafttrue\ifdraft c\else d\fi", "b  c\n", []),
+    (r"\begin{tabular}{ll}\multicolumn{2}{c}{x}\\a&b\end{tabular}", "#table(\n  columns: 2,\n  align: (left, left),\n  stroke: none,\n  table.cell(colspan: 2)[x],\n  [a], [b],\n)\n", []),
+    (r"\thepage \ensuremath{x_1}", "#context counter(page).display() $x_1$\n", []),
+    (r"$\xrightarrow{f} \nicefrac{1}{2}$", "$attach(->, t: f) 1 slash 2$\n", []),
+    (r"\begin{frame}{T}x\end{frame}", "#pagebreak(weak: true)\n== T\n\nx\n", []),
     (r"\vspace{1em}a\hspace{\fill}", "#v(1em)a\n", []),
 ]
 
