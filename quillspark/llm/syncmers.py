@@ -86,7 +86,7 @@ def likeness(one: str, other: str) -> float:
     return max(shifts.values(), default=0) / len(a.keys() | b.keys()) if a or b else 0.0
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = 16 << 20, most: int = 4096) -> tuple[DataFrame, int]:
+def with_next(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = 16 << 20, most: int = 1 << 16) -> tuple[DataFrame, int]:
     """Rows dealt to blocks of neighbouring ids, each with a copy of the rows that follow its last one (role 1).
 
     Blocks are ranges of ids; what the driver learns is the largest id of each block, of at most `most` blocks.
