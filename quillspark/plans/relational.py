@@ -228,10 +228,10 @@ def rank_candidates(spark, sf_dir):
 
 
 @query("""WITH t AS (SELECT conv_id AS doc, role, length(text) AS n, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text) AS page FROM conversations WHERE role IN ('user', 'assistant'))
-SELECT coalesce(a.doc, b.doc) AS doc, coalesce(a.page, b.page)::INT AS page, a.n AS left_chars, b.n AS right_chars FROM (SELECT * FROM t WHERE role = 'user') a FULL OUTER JOIN (SELECT * FROM t WHERE role = 'assistant') b ON a.doc = b.doc AND a.page = b.page""")
+SELECT coalesce(a.doc, b.doc) AS doc, coalesce(a.page, b.page)::INT AS page, a.n::DOUBLE AS left_chars, b.n::DOUBLE AS right_chars FROM (SELECT * FROM t WHERE role = 'user') a FULL OUTER JOIN (SELECT * FROM t WHERE role = 'assistant') b ON a.doc = b.doc AND a.page = b.page""")
 def page_pairs(spark, sf_dir):
     place = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn", "text"))
-    t = table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant")).select(F.col("conv_id").alias("doc"), "role", F.length("text").cast("long").alias("n"), place.alias("page"))
+    t = table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant")).select(F.col("conv_id").alias("doc"), "role", F.length("text").cast("double").alias("n"), place.alias("page"))
     left, right = (t.where(F.col("role") == r).select("doc", "page", F.col("n").alias(c)) for r, c in (("user", "left_chars"), ("assistant", "right_chars")))
     return C.pages(left, right)
 
