@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,20 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir, or one of our own where that is unset (tests on one machine)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", at) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        _OWN.setdefault(spark.sparkContext.applicationId, at)
-        at = _OWN[spark.sparkContext.applicationId]
+        own = tempfile.mkdtemp(prefix="quillspark-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        at = _OWN[spark.sparkContext.applicationId] = "file://" + own
     return at.rstrip("/")
 
 
-_OWN: dict[str, str] = {}
-
-
 def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it again, so that a lost executor costs no recomputation."""
     spark = df.sparkSession

@@ -322,7 +322,7 @@ def thin(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int
     gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone")).distinct()
     left = docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
     place = Window.partitionBy(id_col, text_col).orderBy(F.lit(0))
-    return left.withColumn("place", F.row_number().over(place)).where("place = 1 or `%s` is null" % id_col).drop("place")
+    return left.withColumn("__place", F.row_number().over(place)).where(f"__place = 1 or `{id_col}` is null").drop("__place")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

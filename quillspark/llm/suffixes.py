@@ -322,8 +322,8 @@ def cut_text(docs: DataFrame, length: int = 400, seed: int = SEED, id_col: str =
     seed = min(seed, max(1, length // 2))
     rows = materialize(keyed(docs, id_col, text_col), "texts")
     spans = materialize(removed(docs, length, seed, id_col, text_col, rows, GROUP_BYTES), "spans")
-    lost = rows.join(spans, ["k1", "k2"]).select(F.col("id").alias("loser"), F.struct("k1", "k2", "removed").alias("lost")).groupBy("loser").agg(F.collect_set("lost").alias("lost"))
-    joined = docs.join(lost, F.col(id_col).eqNullSafe(F.col("loser")), "left").drop("loser")
+    lost = rows.join(spans, ["k1", "k2"]).select(F.col("id").alias("__loser"), F.struct("k1", "k2", "removed").alias("lost")).groupBy("__loser").agg(F.collect_set("lost").alias("__lost"))
+    joined = docs.join(lost, F.col(id_col).eqNullSafe(F.col("__loser")), "left").drop("__loser")
     names = docs.columns
     at_text = names.index(text_col)
     at_chars = names.index(chars_col) if chars_col in names else None
@@ -352,4 +352,4 @@ def cut_text(docs: DataFrame, length: int = 400, seed: int = SEED, id_col: str =
                     cols[at_chars] = pa.array(counts, cols[at_chars].type)
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return joined.select(*docs.columns, "lost").mapInArrow(run, docs.schema)
+    return joined.select(*docs.columns, "__lost").mapInArrow(run, docs.schema)

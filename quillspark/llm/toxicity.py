@@ -170,7 +170,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, learne
                 texts = [words[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(texts, pa.binary())], names=["id", "toxic", "lang", "words"])
 
-    joined = docs.join(F.broadcast(sample), docs[id_col] == sample["labelled"]).select("labelled", F.col("toxic").cast("int").alias("toxic"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), text_col)
+    texts = docs.select(id_col, F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), text_col)
+    joined = texts.join(F.broadcast(sample), texts[id_col] == sample["labelled"]).select("labelled", F.col("toxic").cast("int").alias("toxic"), "lang", text_col)
     rows = sorted(joined.mapInArrow(hashed, f"id {dict(docs.dtypes)[id_col]}, toxic int, lang string, words binary").collect(), key=lambda r: (r["id"], r["words"]))
     y = np.array([r["toxic"] for r in rows], dtype=np.float32)
     total = sum(counts.values())
@@ -196,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, learne
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Adds score, predicted (at 0.5), threshold (of the language) and flagged to whole rows of docs."""
+    """Adds score, predicted (at 0.5), threshold (of the language) and flagged to whole rows of docs; columns of these names are replaced."""
     schema = docs.schema
     names = [c for c in docs.columns if c not in ("score", "predicted", "threshold", "flagged")]
     kept = docs.select(*names)
@@ -227,6 +228,20 @@ def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     return score(docs, model).withColumn("held_out", remainder("doc_id") == 0)
 
 
-def reject(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """Whole rows of docs without those that reach their language's threshold."""
-    return classify(docs, labels, per_class).where("not flagged").select(*docs.columns)
+def reject(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Whole rows of docs, without those that reach their language's threshold."""
+    model = train(docs, labels, per_class, learned=remainder("doc_id") != 0)
+    at_text, at_lang = docs.columns.index(text_col), docs.columns.index(lang_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = model.prepare()
+        for batch in batches:
+            at = 0
+            for part in W.chunks(batch.column(at_text)):
+                s = model.scores(*word_buckets(part), parts)
+                rows = batch.slice(at, len(part))
+                at += len(part)
+                cut = np.array([model.thresholds.get(x or "", model.thresholds[""]) for x in rows.column(at_lang).to_pylist()])
+                yield rows.filter(pa.array(s < cut))
+
+    return docs.mapInArrow(run, docs.schema)
