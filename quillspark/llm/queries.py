@@ -107,6 +107,17 @@ SELECT doc_id, length(text)::INT AS n_chars, n_removed::INT AS n_removed, remove
 FROM cut JOIN kept USING (doc_id)
 """
 
+#: The same rows as op7_warc's. Base32 comes from 20 bits (five hexadecimal digits) at a time.
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+h AS (SELECT *, sha1(html) AS hex FROM p),
+g AS (SELECT *, list_transform(range(8), lambda i: ('0x' || substr(hex, 5 * i + 1, 5))::BIGINT) AS v FROM h)
+SELECT page_id, strlen(html) AS payload_bytes,
+  array_to_string(list_transform(v, lambda x: array_to_string(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> b) & 31)::BIGINT + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM g
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_lines": OP3_SQL, "op8_chat": OP8_SQL}
+    return {"op3_lines": OP3_SQL, "op7_warc": OP7_SQL, "op8_chat": OP8_SQL}
