@@ -193,13 +193,12 @@ def entry_file_rule(spark, sf_dir):
     return C.entry_files(files)
 
 
-@query("SELECT p_partkey, p_type, row_number() OVER (ORDER BY coalesce(nullif(list_position(['beamer', 'thesis', 'report', 'book', 'article'], ['article', 'book', 'report', 'thesis', 'beamer', 'other'][p_size % 6 + 1]), 0), 99), p_partkey) AS place FROM part WHERE p_size < 4")
+@query("SELECT p_partkey, p_type, coalesce(nullif(list_position(['beamer', 'thesis', 'report', 'book', 'article'], ['article', 'book', 'report', 'thesis', 'beamer', 'other'][p_size % 6 + 1]), 0), 99)::BIGINT AS place FROM part")
 def gallery_order(spark, sf_dir):
-    # a report of bounded size: one gallery page
     order = F.array(*map(F.lit, ["beamer", "thesis", "report", "book", "article"]))
     kind = F.element_at(F.array(*map(F.lit, ["article", "book", "report", "thesis", "beamer", "other"])), (F.pmod("p_size", F.lit(6)) + 1).cast("int"))
-    rank = F.coalesce(F.nullif(F.array_position(order, kind), F.lit(0)), F.lit(99))
-    return table(spark, sf_dir, "part").where("p_size < 4").select("p_partkey", "p_type", F.row_number().over(Window.orderBy(rank, "p_partkey")).cast("long").alias("place"))
+    place = F.coalesce(F.nullif(F.array_position(order, kind), F.lit(0)), F.lit(99)).cast("long")
+    return table(spark, sf_dir, "part").select("p_partkey", "p_type", place.alias("place")).orderBy("place", "p_partkey")
 
 
 @query(METRICS + "SELECT doc_id AS id, round(word_recall, 3) AS word_recall, round(heading_recall, 3) AS heading_recall, round(mean_ssim, 3) AS mean_ssim FROM x")
@@ -274,12 +273,12 @@ def macro_last_wins(spark, sf_dir):
     return C.last_wins(d, ["project", "name"], ["pos", "body"], "body")
 
 
-@query("""WITH RECURSIVE c AS (SELECT s_suppkey AS root, s_suppkey AS file, 0 AS depth FROM supplier WHERE s_suppkey % 7 = 0 UNION ALL SELECT root, file // 2, depth + 1 FROM c WHERE file > 1)
+@query("""WITH RECURSIVE c AS (SELECT s_suppkey AS root, s_suppkey AS file, 0 AS depth FROM supplier UNION ALL SELECT root, file // 2, depth + 1 FROM c WHERE file > 1)
 SELECT root, file, depth::INT AS depth FROM c""")
 def include_closure(spark, sf_dir):
     ids = table(spark, sf_dir, "supplier").select("s_suppkey")
     edges = ids.where("s_suppkey > 1").select(F.col("s_suppkey").alias("parent"), F.expr("s_suppkey div 2").alias("child"))
-    return C.include_closure(edges, ids.where("s_suppkey % 7 = 0").select(F.col("s_suppkey").alias("root")))
+    return C.include_closure(edges, ids.select(F.col("s_suppkey").alias("root")))
 
 
 @query("""WITH s AS (SELECT l_orderkey AS doc, l_linenumber AS pos, (l_partkey % 900)::BIGINT AS a, (l_partkey % 900 + l_quantity)::BIGINT AS b, l_suppkey AS k FROM lineitem)
@@ -348,12 +347,12 @@ def algo_indent(spark, sf_dir):
     return C.indent(lines)
 
 
-@query("""WITH s AS (SELECT p_partkey AS pos, p_name || ' ' || p_brand AS output, (p_partkey // 100)::BIGINT AS doc FROM part), e AS (SELECT p_partkey AS error, substr(p_brand, 1, 8) AS token, (p_partkey // 100)::BIGINT AS doc FROM part WHERE p_partkey % 10 = 0)
+@query("""WITH s AS (SELECT p_partkey AS pos, p_name || ' ' || p_brand AS output, (p_partkey // 100)::BIGINT AS doc FROM part), e AS (SELECT p_partkey AS error, substr(p_brand, 1, 8) AS token, (p_partkey // 100)::BIGINT AS doc FROM part)
 SELECT e.doc, e.error, x.pos AS "start", x.pos + 1 AS "end" FROM e LEFT JOIN LATERAL (SELECT pos FROM s WHERE s.doc = e.doc AND contains(s.output, e.token) AND length(e.token) >= 3 ORDER BY length(output), pos LIMIT 1) x ON true""")
 def error_to_span(spark, sf_dir):
     part = table(spark, sf_dir, "part").withColumn("doc", F.expr("p_partkey div 100"))
     spans = part.select("doc", F.col("p_partkey").alias("pos"), F.col("p_partkey").alias("start"), (F.col("p_partkey") + 1).alias("end"), F.concat_ws(" ", "p_name", "p_brand").alias("output"))
-    errors = part.where("p_partkey % 10 = 0").select("doc", F.col("p_partkey").alias("error"), F.substring("p_brand", 1, 8).alias("token"))
+    errors = part.select("doc", F.col("p_partkey").alias("error"), F.substring("p_brand", 1, 8).alias("token"))
     return C.errors_to_spans(errors, spans)
 
 
