@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.llm import jaccard as J
 from quillspark.llm import words as W
 from quillspark.llm.common import materialize
 from quillspark.llm.components import components
@@ -309,17 +310,46 @@ def bits_at(similarity: float, bits: int) -> int:
     return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
+def described(docs: DataFrame, shingle: int, similarity: float, words: int, id_col: str, text_col: str) -> DataFrame:
+    """Per row: id, the node of its set of shingles, the set's size and prefix (see jaccard), and w0, w1, ... as fingerprints() gives them."""
+    known = J.common(docs, shingle, text_col)
+    names = [f"w{k}" for k in range(words)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for part in W.chunks(batch.column(1)):
+                h, first = J.sets(W.split(part), shingle)
+                key, begin = J.prefixes(h, first, known, similarity)
+                prefix = pa.array([key[x:y].tobytes() for x, y in zip(begin[:-1], begin[1:], strict=True)], pa.binary())
+                fp = [W.majority(W.mix(h ^ np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))) if k else h, first) for k in range(words)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(J.nodes(h, first)), pa.array(np.diff(first).astype(np.int32)), prefix, *(pa.array(f.view(np.int64)) for f in fp)], names=["id", "node", "size", "prefix", *names])
+                at += len(part)
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, node long, size int, prefix binary, " + ", ".join(f"{n} long" for n in names))
+
+
 def thin(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Whole rows of docs, one document of each group of near-duplicates, that of the smallest id; the similarity is estimated on `words` fingerprints of 64 bits.
+    """Whole rows of docs, one document of each group of near-duplicates, that of the smallest id. Near-duplicates are texts whose sets of shingles have this Jaccard similarity, exactly, and what such pairs connect.
 
-    Where all words together differ in few enough bits, one of them differs in at most its share; so each is probed with that radius.
+    SimHash (`words` fingerprints of 64 bits, of sets) finds most links cheaply, and large groups by a forest of links; a
+    prefix join finds all that it misses. Every link is verified on whole sets before components are formed.
 
     Rows of one id stand or fall together; of equal rows one stays. Rows with a null id stay.
     """
-    fps = materialize(fingerprints(docs, shingle, words, id_col, text_col), "fingerprints")
+    rows = materialize(described(docs, shingle, similarity, words, id_col, text_col), "described")
+    names = [f"w{k}" for k in range(words)]
+    known = rows.groupBy("node").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in ("size", "prefix", *names)))
+    known = materialize(known, "known")
     total = bits_at(similarity, 64 * words)
-    found = classes(fps, total // words, total, words, id_col)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone")).distinct()
+    near = J.verified(links(known.select("node", *names), total // words, total, words), docs, shingle, similarity, text_col)
+    rooted = known.join(components(near).withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node"))
+    every = near.union(J.verified(J.candidates(rooted, similarity), docs, shingle, similarity, text_col))
+    roots = components(every).withColumnRenamed("node", "of")
+    rooted = materialize(known.select("node", "least").join(roots, F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    found = rows.select("id", "node").join(rooted.join(smallest, "root").select("node", "component_id"), "node")
+    gone = found.where("id <> component_id").select(F.col("id").alias("gone")).distinct()
     left = docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
     place = Window.partitionBy(id_col, text_col).orderBy(F.lit(0))
     return left.withColumn("__place", F.row_number().over(place)).where(f"__place = 1 or `{id_col}` is null").drop("__place")

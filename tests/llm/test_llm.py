@@ -193,6 +193,24 @@ def test_thin_keeps_one_of_each_group(spark):
     assert sorted((r.doc_id or -1) for r in simhash.thin(frame(spark, copy)).collect()) == [-1, -1, 1, 5]
 
 
+def test_thin_is_exact_similarity(spark):
+    r = np.random.default_rng(5)
+    rows = [(1000, ""), (1001, None), (1002, "a b"), (1003, "A  b"), (1004, "x y z " * 40 + "end"), (1005, "x y z " * 5 + "end")]
+    for g in range(40):  # edits that leave similarities around 0.8
+        base = [f"g{g}w{k}" for k in range(int(r.integers(30, 300)))]
+        for c in range(4):
+            own = list(base)
+            for at in r.integers(0, len(own), max(1, round(len(own) * 0.007 * c))).tolist():
+                own[at] = f"e{g}c{c}a{at}"
+            rows.append((g * 4 + c, " ".join(own) + " one line that stands in all of the texts here"))
+    sets = [set(shingles(t, 5)) for _, t in rows]
+    edges = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = smallest(len(rows), edges, [i for i, _ in rows])
+    assert 60 < len(edges) < 240
+    kept = {x.doc_id for x in simhash.thin(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {i for (i, _), c in zip(rows, want, strict=True) if i == c}
+
+
 # -- op3
 
 
