@@ -3,9 +3,10 @@
 Words (runs of letters and digits, A-Z lower-cased) and their first PREFIX bytes are hashed to rows of an embedding
 table, and the two rows added, so that inflected forms share what they begin with; filters of several widths
 slide over the whole text, the strongest response of each filter is kept, and a logistic layer scores them. Training is
-by Adagrad on a bounded sample of labelled rows (`per_class` of each label, by order of a hash of the id), with the
-classes' true shares restored in the bias. One threshold per language is calibrated on a fifth of that sample that the
-weights have not seen; languages with few examples take the common one. Labels, language, source and id are no inputs.
+by Adagrad on a bounded sample of labelled rows (`per_class` of each label, by order of a hash of the id, and four fifths
+of it at most). One threshold per language is calibrated on all labelled rows outside that sample, which are scored in a
+distributed pass and counted by score; both classes weigh as in the corpus, so the threshold doesn't depend on the
+sample's bound. Languages with few examples take the common one. Labels, language, source and id are no inputs.
 
 Cases: null texts count as empty; a text without words scores by the bias alone. Repeated rows are scored alike. An id
 with several labels counts as toxic if one says so; null labels are none. Without examples of both labels every score is
@@ -29,6 +30,8 @@ BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 16, 8, (1, 2, 3)
 #: Labelled rows of each class that training takes at most.
 PER_CLASS = 3000
 PAD, PREFIX = max(WIDTHS) - 1, 4
+#: Steps of the score histograms for each unit of the logit.
+BINS = 256
 
 
 def word_buckets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -137,30 +140,51 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, shares: tuple[float, float]
     return m
 
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The middle of the cut that makes F1 largest."""
+def best_threshold(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
+    """The middle of the cut that makes F1 largest, where each score counts as often as its weight says."""
     order = np.argsort(-scores, kind="stable")
-    s, hits = scores[order], np.cumsum(labels[order])
-    f1 = 2 * hits / (np.arange(1, len(s) + 1) + labels.sum())
+    s, hits, taken = scores[order], np.cumsum((labels * weights)[order]), np.cumsum(weights[order])
+    f1 = 2 * hits / (taken + (labels * weights).sum())
     f1[:-1][s[:-1] == s[1:]] = -1  # equal scores stand on one side
     k = int(np.argmax(f1))
     return float((s[k] + s[k + 1]) / 2) if k + 1 < len(s) else float(s[k]) / 2
 
 
-def calibrate(m: Model, scores: np.ndarray, labels: np.ndarray, langs: list[str], fewest: int = 15) -> dict[str, float]:
-    out = {"": best_threshold(scores, labels) if 0 < labels.sum() else 0.5}
-    for lang in sorted(set(langs) - {""}):
-        own = np.array([x == lang for x in langs])
-        if labels[own].sum() >= fewest and (1 - labels[own]).sum() >= fewest:
-            out[lang] = best_threshold(scores[own], labels[own])
+def calibrate(scores: np.ndarray, labels: np.ndarray, langs: np.ndarray, counts: np.ndarray, weights: np.ndarray, fewest: int = 15) -> dict[str, float]:
+    """counts: rows of each score, label and language. weights: what such rows stand for in the corpus."""
+    out = {"": best_threshold(scores, labels, weights)}
+    for lang in sorted(set(langs.tolist()) - {""}):
+        own = langs == lang
+        if min(counts[own & (labels == c)].sum() for c in (0, 1)) >= fewest:
+            out[lang] = best_threshold(scores[own], labels[own], weights[own])
     return out
 
 
+def histogram(docs: DataFrame, given: DataFrame, fitted: DataFrame, m: Model, id_col: str, text_col: str, lang_col: str) -> list:
+    """Rows of lang, bin (of the logit), toxic and n: how the labelled rows outside the fitted sample score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = m.prepare()
+        for batch in batches:
+            at = 0
+            for part in W.chunks(batch.column(2)):
+                s = np.clip(m.scores(*word_buckets(part), parts), 1e-12, 1 - 1e-12)
+                bins = np.floor(np.log(s / (1 - s)) * BINS).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part)), pa.array(bins)], names=["labelled", "lang", "bin"])
+                at += len(part)
+
+    # all texts are scored where they lie, so that only ids and bins are shuffled
+    texts = docs.select(F.col(id_col).alias("labelled"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), text_col)
+    scored = texts.mapInArrow(run, f"labelled {dict(docs.dtypes)[id_col]}, lang string, bin int")
+    rest = given.withColumnRenamed(id_col, "labelled").where("toxic in (0, 1)").join(F.broadcast(fitted.select("labelled")), "labelled", "left_anti")
+    return scored.join(rest, "labelled").groupBy("lang", "bin", F.col("toxic").cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, learned: object = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """learned: a condition on labels; rows outside it are not looked at."""
     given = labels.where("toxic is not null" if learned is None else F.col("toxic").isNotNull() & learned).groupBy(id_col).agg(F.max("toxic").alias("toxic"))
     counts = {r[0]: r[1] for r in given.groupBy("toxic").count().collect() if r[0] in (0, 1)}
-    some = [given.where(F.col("toxic") == c).orderBy(F.xxhash64(id_col), id_col).limit(per_class) for c in (0, 1)]
+    some = [given.where(F.col("toxic") == c).orderBy(F.xxhash64(id_col), id_col).limit(min(per_class, counts.get(c, 0) - counts.get(c, 0) // 5)) for c in (0, 1)]
     sample = some[0].union(some[1]).withColumnRenamed(id_col, "labelled")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,15 +204,17 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, learne
         share = counts.get(1, 0) / total if total else 0.0
         m.out[:], m.out_bias = 0, float(np.clip(np.log(max(share, 1e-300) / max(1 - share, 1e-300)), -700, 700))
         return m
-    texts, langs = [np.frombuffer(r["words"], np.int32).reshape(-1, 2) for r in rows], [r["lang"] for r in rows]
+    texts = [np.frombuffer(r["words"], np.int32).reshape(-1, 2) for r in rows]
     shares = (counts.get(0, 0) / max(1, (1 - y).sum()), counts.get(1, 0) / max(1, y.sum()))
-    unseen = np.arange(len(y)) % 5 == 2
-    m = fit([t for t, u in zip(texts, unseen, strict=True) if not u], y[~unseen], shares)
-    held = [t for t, u in zip(texts, unseen, strict=True) if u]
-    if held and 0 < y[unseen].sum() < unseen.sum():
-        parts, first = m.prepare(), np.concatenate([[0], np.cumsum([len(t) for t in held])])
-        s = m.scores(np.concatenate(held), first, parts)
-        cuts = calibrate(m, s, y[unseen], [x for x, u in zip(langs, unseen, strict=True) if u])
+    m = fit(texts, y, shares)
+    rows = histogram(docs, given, sample, m, id_col, text_col, lang_col)
+    toxic, n = np.array([r["toxic"] for r in rows]), np.array([r["n"] for r in rows])
+    if len(set(toxic.tolist())) == 2:
+        # a class that the sample takes less of has more rows outside it; both are weighed as in the corpus
+        whole = [(y == c).sum() + n[toxic == c].sum() for c in (0, 1)]
+        weights = n * np.where(toxic == 1, whole[1] / n[toxic == 1].sum(), whole[0] / n[toxic == 0].sum())
+        scores = 1 / (1 + np.exp(-(np.array([r["bin"] for r in rows]) + 0.5) / BINS))
+        cuts = calibrate(scores, toxic, np.array([r["lang"] for r in rows]), n, weights)
         # move the common threshold to a score of 0.5
         logit = {k: float(np.log(t / (1 - t))) for k, t in ((k, np.clip(t, 1e-9, 1 - 1e-9)) for k, t in cuts.items())}
         m.out_bias -= logit[""]

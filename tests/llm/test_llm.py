@@ -247,6 +247,24 @@ def test_toxicity_learns(spark):
     assert right > 0.9 and all(0 <= x.score <= 1 for x in got)
 
 
+def test_toxicity_cuts_for_the_whole_mix(spark):
+    """A word that one clean text in seven has is a bad sign among as many toxic texts, not among a ninth; the sample's bound must not matter."""
+    r = np.random.default_rng(1)
+    docs, labels = [], []
+    for i in range(5400):
+        y = i % 9 == 0
+        w = r.choice([f"w{k}" for k in range(50)], 20).tolist()
+        if y and r.random() < 0.6:
+            w[3] = "scum"
+        if r.random() < (0.6 if y else 0.15):
+            w[7] = "meh"
+        docs.append((i, " ".join(w)))
+        labels.append((i, int(y)))
+    got = toxicity.classify(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int"), per_class=400).collect()
+    toxic, said = np.array([x.doc_id % 9 == 0 for x in got]), np.array([x.predicted == 1 for x in got])
+    assert 2 * (toxic & said).sum() / (toxic.sum() + said.sum()) > 0.72
+
+
 def test_toxicity_odd_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.classify(frame(spark), none).collect()
