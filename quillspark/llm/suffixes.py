@@ -1,17 +1,19 @@
 """Suffix-array dedup of byte strings that occur more than once.
 
 What is removed: every byte covered by a string of `length` bytes that also starts anywhere else, judged on the input.
+With `report`, a smaller number, the bytes covered by repeated strings of that many bytes are counted as well.
 
 The suffix order comes from the difference-cover algorithm: triples at positions that aren't multiples of three are
 sorted and named, the string of names is ordered in the same way, and the remaining suffixes are merged in; then the
-prefixes of adjacent suffixes are compared. To deal the work out, windows of `length` bytes are grouped by the least hash
-of the substrings of SEED bytes inside: equal windows have equal least hashes, so they meet in one group. A run of
-consecutive windows of a group is one snippet. Snippets of a group whose hash occurs nowhere else are settled; equal
-snippets are kept once, with their number; the others of some groups at a time make one text, whose suffixes are ordered
-as above. So only text that shares substrings with other text is ordered, and a passage in a million documents once.
+prefixes of adjacent suffixes are compared. To deal the work out, windows of the least length are grouped by the least
+hash of the substrings of `seed` bytes inside: equal windows have equal least hashes, so they meet in one group. A run of
+consecutive windows of a group, with the bytes that follow it up to the greatest length, is one snippet. Snippets of a
+group whose hash occurs nowhere else are settled; equal snippets are kept once, with their number; the others of some
+groups at a time make one text, whose suffixes are ordered as above. So only text that shares substrings with other text
+is ordered, and a passage in a million documents once.
 
 A group with more than GROUP_BYTES of different snippets (a passage that stands in very many different surroundings) is
-not put into one task: its windows are counted by 128-bit digests instead, which Spark adds up before shuffling.
+ordered by the distributed form of the same algorithm (llm/cover.py): Spark sorts the triples by range.
 
 Cases: null texts count as empty; texts shorter than `length` lose nothing. Equal rows are documents like others, so
 both lose what they share. Repetition inside one document counts, overlaps too. Empty tables give empty ones.
@@ -25,13 +27,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import input_bytes, materialize
+from quillspark.llm import cover
+from quillspark.llm.common import drop_materialized, input_bytes, materialize
 from quillspark.llm.words import mix
 
-SEED = 101
+#: Bytes hashed for grouping, and a quarter of the least length at most.
+SEED = 50
 #: Bytes of snippets whose suffixes are ordered at a time, and of one group at most.
 BATCH_BYTES, GROUP_BYTES = 1 << 20, 2 << 20
 _ODD = 0x9E3779B97F4A7C15
@@ -91,13 +95,13 @@ def suffix_order(t: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Of the starts (sorted) those whose next `length` bytes also begin at another start. data: bytes, 0 between texts."""
-    text = data.astype(np.int64) + 1
+def repeated(data: np.ndarray, order: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Of the starts (sorted) those whose next `length` bytes also begin at another start. data: bytes, 0 between texts. order: of its suffixes."""
     wanted = np.zeros(len(data), dtype=bool)
     wanted[starts] = True
-    order = suffix_order(text)
     order = order[wanted[order]]
+    if not len(order):
+        return order
     wide = np.ndarray((len(data) + 1,), dtype="<u8", buffer=np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
     same = np.arange(len(order) - 1)
     steps = [*range(0, length - 7, 8), length - 8] if length >= 8 else []
@@ -165,24 +169,25 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, text_col).mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, k1 long, k2 long, n_bytes long, whole string")
 
 
-def snippets(docs: DataFrame, text_col: str, length: int, seed: int) -> DataFrame:
-    """Rows (hash, digest, k1, k2, lo, hi, several): runs of windows and the digest of the bytes that they cover."""
+def snippets(docs: DataFrame, text_col: str, length: int, reach: int, seed: int) -> DataFrame:
+    """Rows (hash, digest, k1, k2, lo, hi, stop, several): runs of windows of `length` bytes, where their snippet stops (`reach` bytes after the last start, or at the text's end) and its digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                cols: list[list] = [[], [], [], [], [], [], []]
+                cols: list[list] = [[], [], [], [], [], [], [], []]
                 for text in utf8(part.column(0)):
                     h, lo, hi, several = runs(text, length, seed)
                     if len(h):
                         k1, k2 = text_key(text)
-                        digest = np.array([xxhash.xxh3_64_intdigest(text[a : b + length]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], dtype=np.uint64)
-                        for c, x in zip(cols, (h.view(np.int64), digest.view(np.int64), np.full(len(h), k1), np.full(len(h), k2), lo, hi, several.astype(np.int64)), strict=True):
+                        stop = np.minimum(hi + reach, len(text))
+                        digest = np.array([xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(lo.tolist(), stop.tolist(), strict=True)], dtype=np.uint64)
+                        for c, x in zip(cols, (h.view(np.int64), digest.view(np.int64), np.full(len(h), k1), np.full(len(h), k2), lo, hi, stop, several.astype(np.int64)), strict=True):
                             c.append(x)
                 none = np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *c]), pa.int64()) for c in cols], names=["hash", "digest", "k1", "k2", "lo", "hi", "several"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *c]), pa.int64()) for c in cols], names=["hash", "digest", "k1", "k2", "lo", "hi", "stop", "several"])
 
-    return docs.select(text_col).mapInArrow(run, "hash long, digest long, k1 long, k2 long, lo long, hi long, several long")
+    return docs.select(text_col).mapInArrow(run, "hash long, digest long, k1 long, k2 long, lo long, hi long, stop long, several long")
 
 
 def ranges(at: np.ndarray) -> list[tuple[int, int]]:
@@ -193,50 +198,119 @@ def ranges(at: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at[np.concatenate([[0], cut + 1])].tolist(), at[np.concatenate([cut, [len(at) - 1]])].tolist(), strict=True))
 
 
-def ordered(rows: DataFrame, length: int) -> DataFrame:
-    """rows: (hash, digest, bytes), sorted by hash within each partition. Per snippet with repeated windows: hash, digest, and the runs of such windows, as offsets."""
+#: A run of starts, as offsets in a snippet, whose strings of `size` bytes are repeated.
+RUNS = "array<struct<from:long,to:long,size:int>>"
+_RUNS = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64()), ("size", pa.int32())]))
+
+
+def ordered(rows: DataFrame, sizes: list[int]) -> DataFrame:
+    """rows: (hash, digest, data, starts), sorted by hash within each partition. Per snippet with repeated strings of one of the sizes: hash, digest, and the runs of their starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
+        held: list[tuple[int, int, bytes, int]] = []
 
-        def settle(some: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        def settle(some: list[tuple[int, int, bytes, int]]) -> Iterator[pa.RecordBatch]:
             if not some:
                 return
             data = np.frombuffer(b"\0".join(x[2] for x in some) + b"\0", np.uint8)
-            sizes = np.array([len(x[2]) for x in some])
-            first = np.concatenate([[0], np.cumsum(sizes + 1)])
-            windows = sizes - length + 1
-            starts = np.repeat(first[:-1], windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-            hits = repeated(data, starts, length)
-            edges = np.searchsorted(hits, first)
-            which = np.flatnonzero(np.diff(edges))
-            found = [[{"from": a, "to": b} for a, b in ranges(hits[edges[i] : edges[i + 1]] - first[i])] for i in which]
-            kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array([some[i][0] for i in which], pa.int64()), pa.array([some[i][1] for i in which], pa.int64()), pa.array(found, kind)], names=["hash", "digest", "runs"])
+            long = np.array([len(x[2]) for x in some])
+            first = np.concatenate([[0], np.cumsum(long + 1)])
+            order = suffix_order(data.astype(np.int64) + 1)
+            found: list[list] = [[] for _ in some]
+            for size in sizes:
+                n = np.maximum(0, np.minimum([x[3] for x in some], long - size + 1))  # starts with so many bytes after them
+                starts = np.repeat(first[:-1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                hits = repeated(data, order, starts, size)
+                edges = np.searchsorted(hits, first)
+                for i in np.flatnonzero(np.diff(edges)):
+                    found[i] += [{"from": a, "to": b, "size": size} for a, b in ranges(hits[edges[i] : edges[i + 1]] - first[i])]
+            which = [i for i, x in enumerate(found) if x]
+            yield pa.RecordBatch.from_arrays([pa.array([some[i][0] for i in which], pa.int64()), pa.array([some[i][1] for i in which], pa.int64()), pa.array([found[i] for i in which], _RUNS)], names=["hash", "digest", "runs"])
 
         size = 0
         for batch in batches:
-            for h, d, data in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            for h, d, data, n in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 if size > BATCH_BYTES and h != held[-1][0]:
                     yield from settle(held)
                     held, size = [], 0
                 if not held or held[-1][:2] != (h, d):  # the same snippet can come from equal rows
-                    held.append((h, d, data))
+                    held.append((h, d, data, n))
                     size += len(data)
         yield from settle(held)
 
-    return rows.mapInArrow(run, "hash long, digest long, runs array<struct<from:long,to:long>>")
+    return rows.mapInArrow(run, f"hash long, digest long, runs {RUNS}")
+
+
+def ordered_by_spark(pieces: DataFrame, sizes: list[int]) -> DataFrame:
+    """As ordered(), for snippets of groups that are too large for one task: their concatenation is ordered by cover.repeated()."""
+    spark = pieces.sparkSession
+    own = materialize(pieces.dropDuplicates(["hash", "digest"]), "large")
+    total = own.agg(F.count("*"), F.sum(F.length("data") + 1)).first()
+    if not total[0]:
+        return spark.createDataFrame([], f"hash long, digest long, runs {RUNS}")
+    # places: each snippet's first place comes from running sums over ranges of (hash, digest)
+    parts = max(1, -(-total[1] // (64 << 20)))
+    ranged = materialize(own.repartitionByRange(parts, "hash", "digest").withColumn("pid", F.spark_partition_id()), "large-ranged")
+    below, at = [], 0
+    for pid, n in ranged.groupBy("pid").agg(F.sum(F.length("data") + 1)).orderBy("pid").collect():
+        below.append((pid, at))
+        at += n
+    offset = F.broadcast(spark.createDataFrame(below, "pid int, base long"))
+    before = F.sum(F.length("data") + 1).over(Window.partitionBy("pid").orderBy("hash", "digest").rowsBetween(Window.unboundedPreceding, -1))
+    placed = materialize(ranged.join(offset, "pid").select("hash", "digest", "data", "starts", (F.coalesce(before, F.lit(0)) + F.col("base")).alias("first")), "large-placed")
+
+    def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                text = np.concatenate([np.frombuffer(data, np.uint8).astype(np.int64) + 2, [1]])
+                yield pa.RecordBatch.from_arrays([pa.array(first + np.arange(len(text))), pa.array(text)], names=["place", "symbol"])
+
+    text = materialize(placed.select("data", "first").mapInArrow(symbols, "place long, symbol long"), "large-text")
+    out = None
+    for size in sizes:
+
+        def digests(batches: Iterator[pa.RecordBatch], size: int = size) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for data, starts, first in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                    n = max(0, min(starts, len(data) - size + 1))
+                    keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[p : p + size]) for p in range(n)), np.int64).reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays([pa.array(first + np.arange(n)), pa.array(keys[:, 0]), pa.array(keys[:, 1])], names=["place", "d1", "d2"])
+
+        starts = placed.select("data", "starts", "first").mapInArrow(digests, "place long, d1 long, d2 long")
+        hits = cover.repeated(text, int(total[1]), starts, size)
+        # back from places to snippets: both are sorted by range of places, a block of places at a time
+        block = F.floor(F.col("place") / F.lit(cover.NEAR))
+        spans = placed.select("hash", "digest", F.col("first"), (F.col("first") + F.col("starts") - 1).alias("last"))
+        spans = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / cover.NEAR), F.floor(F.col("last") / cover.NEAR))))
+        found = hits.withColumn("block", block).join(spans, "block").where("place between first and last")
+        one = found.select("hash", "digest", F.array(F.struct((F.col("place") - F.col("first")).alias("from"), (F.col("place") - F.col("first")).alias("to"), F.lit(size).cast("int").alias("size"))).alias("runs"))
+        out = one if out is None else out.union(one)
+    return out
 
 
-def removed(docs: DataFrame, length: int, seed: int, id_col: str, text_col: str, rows: DataFrame, group_bytes: int) -> DataFrame:
-    """Per text that loses something: k1, k2 and the sorted, disjoint spans of bytes to remove."""
-    found = materialize(snippets(docs, text_col, length, seed), "snippets")
-    shared = found.groupBy("hash").agg(F.count("*").alias("n"), ((F.min("digest") != F.max("digest")) | (F.max("several") > 0)).alias("mixed")).where("n > 1 or mixed").select("hash", "mixed")
+def join_spans(spans: list[dict]) -> list[dict]:
+    """Sorted spans as disjoint ones."""
+    merged: list[dict] = []
+    for s in spans:
+        if merged and s["start"] <= merged[-1]["end"]:
+            merged[-1]["end"] = max(merged[-1]["end"], s["end"])
+        else:
+            merged.append({"start": s["start"], "end": s["end"]})
+    return merged
+
+
+def removed(docs: DataFrame, length: int, report: int | None, seed: int, id_col: str, text_col: str, rows: DataFrame, group_bytes: int) -> DataFrame:
+    """Per text that has something repeated: k1, k2, the sorted, disjoint spans of bytes to remove, and how many bytes stand in repeated strings of `report` bytes."""
+    sizes = sorted({length, report or length})
+    least, reach = sizes[0], sizes[-1]
+    found = materialize(snippets(docs, text_col, least, reach, seed), "snippets")
+    # what the joins look up is written first, so that Spark can split the hot keys of the other side
+    shared = materialize(found.groupBy("hash").agg(F.count("*").alias("n"), ((F.min("digest") != F.max("digest")) | (F.max("several") > 0)).alias("mixed")).where("n > 1 or mixed").select("hash", "mixed"), "groups")
     again = materialize(found.join(shared, "hash"), "shared")
-    classes = materialize(again.groupBy("hash", "digest").agg(F.count("*").alias("n"), F.first("mixed").alias("mixed"), F.min(F.struct("k1", "k2", "lo", "hi")).alias("one")), "classes")
-    sizes = classes.where("mixed").groupBy("hash").agg(F.sum(F.col("one.hi") - F.col("one.lo") + length).alias("bytes")).where(F.col("bytes") > group_bytes).select("hash", F.lit(True).alias("large"))
-    asked = classes.where("mixed").join(sizes, "hash", "left")
-    asked = asked.groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct("hash", "digest", F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"), F.coalesce("large", F.lit(False)).alias("large"))).alias("asked"))
+    classes = materialize(again.groupBy("hash", "digest").agg(F.count("*").alias("n"), F.first("mixed").alias("mixed"), F.min(F.struct("k1", "k2", "lo", "hi", "stop")).alias("one")), "classes")
+    large = materialize(classes.where("mixed").groupBy("hash").agg(F.sum(F.col("one.stop") - F.col("one.lo")).alias("bytes")).where(F.col("bytes") > group_bytes).select("hash", F.lit(True).alias("large")), "large")
+    asked = classes.where("mixed").join(large, "hash", "left")
+    asked = asked.groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct("hash", "digest", F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"), F.col("one.stop").alias("stop"), F.coalesce("large", F.lit(False)).alias("large"))).alias("asked"))
     where = rows.groupBy("k1", "k2").agg(F.min("id").alias("of"))
     asked = asked.join(where, ["k1", "k2"])
 
@@ -245,54 +319,45 @@ def removed(docs: DataFrame, length: int, seed: int, id_col: str, text_col: str,
             for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
                 out: list[tuple] = []
                 for text, k1, k2, some in zip(utf8(part.column(0)), *(part.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
-                    if text_key(text) != (k1, k2):  # another row of the same id
-                        continue
-                    for x in some:
-                        if not x["large"]:
-                            out.append((x["hash"], x["digest"], text[x["lo"] : x["hi"] + length], None, None, None))
-                            continue
-                        for p in range(x["lo"], x["hi"] + 1):
-                            out.append((x["hash"], x["digest"], None, p - x["lo"], *text_key(text[p : p + length])))
-                cols = list(zip(*out, strict=True)) or [()] * 6
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["hash", "digest", "data", "at", "w1", "w2"])
+                    if text_key(text) == (k1, k2):  # else another row of the same id
+                        out += [(x["hash"], x["digest"], text[x["lo"] : x["stop"]], x["hi"] - x["lo"] + 1, x["large"]) for x in some]
+                cols = list(zip(*out, strict=True)) or [()] * 5
+                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["hash", "digest", "data", "starts", "large"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(asked, F.col("id").eqNullSafe(F.col("of"))).select("text", "k1", "k2", "asked")
-    pieces = materialize(texts.mapInArrow(cut, "hash long, digest long, data binary, at long, w1 long, w2 long"), "pieces")
+    pieces = materialize(texts.mapInArrow(cut, "hash long, digest long, data binary, starts long, large boolean"), "pieces")
     parts = max(12, input_bytes(pieces) // (8 << 20))
-    settled = ordered(pieces.where("data is not null").select("hash", "digest", "data").repartition(parts, "hash").sortWithinPartitions("hash", "digest"), length)
-    windows = pieces.where("data is null").select("hash", "digest", "at", "w1", "w2").distinct()
-    often = windows.groupBy("hash", "w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    counted = windows.join(often, ["hash", "w1", "w2"]).groupBy("hash", "digest").agg(F.collect_list(F.struct(F.col("at").alias("from"), F.col("at").alias("to"))).alias("runs"))
-    copies = classes.where("n > 1").select("hash", "digest", F.array(F.struct(F.lit(0).cast("long").alias("from"), (F.col("one.hi") - F.col("one.lo")).alias("to"))).alias("runs"))
-    verdicts = materialize(copies.union(settled).union(counted), "verdicts")
+    verdicts = ordered(pieces.where("not large").select("hash", "digest", "data", "starts").repartition(parts, "hash").sortWithinPartitions("hash", "digest"), sizes)
+    whole = lambda k: F.struct(F.lit(0).cast("long").alias("from"), F.least(F.col("one.hi") - F.col("one.lo"), F.col("one.stop") - F.col("one.lo") - k).alias("to"), F.lit(k).cast("int").alias("size"))
+    verdicts = verdicts.union(classes.where("n > 1").select("hash", "digest", F.filter(F.array(*map(whole, sizes)), lambda r: r["to"] >= 0).alias("runs")))
+    if large.limit(1).count():
+        verdicts = verdicts.union(ordered_by_spark(pieces.where("large"), sizes))
+    verdicts = materialize(verdicts, "verdicts")
     hits = again.select("hash", "digest", "k1", "k2", "lo").join(verdicts, ["hash", "digest"])
-    hits = hits.select("k1", "k2", F.explode(F.transform("runs", lambda r: F.struct((F.col("lo") + r["from"]).alias("start"), (F.col("lo") + r["to"] + length).alias("end")))).alias("span"))
-
+    hits = hits.select("k1", "k2", F.explode(F.transform("runs", lambda r: F.struct(r["size"].alias("size"), (F.col("lo") + r["from"]).alias("start"), (F.col("lo") + r["to"] + r["size"]).alias("end")))).alias("span"))
     gathered = hits.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("span")).alias("spans"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            own, marked = [], []
             for spans in batch.column(2).to_pylist():
-                merged: list[dict] = []
-                for s in spans:
-                    if merged and s["start"] <= merged[-1]["end"]:
-                        merged[-1]["end"] = max(merged[-1]["end"], s["end"])
-                    else:
-                        merged.append(dict(s))
-                out.append(merged)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["k1", "k2", "removed"])
+                own.append(join_spans([s for s in spans if s["size"] == length]))
+                marked.append(sum(s["end"] - s["start"] for s in join_spans([s for s in spans if s["size"] == (report or length)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(marked, pa.int64())], names=["k1", "k2", "removed", "n_repeated"])
 
-    return gathered.mapInArrow(join, "k1 long, k2 long, removed array<struct<start:long,end:long>>")
+    out = materialize(gathered.mapInArrow(join, "k1 long, k2 long, removed array<struct<start:long,end:long>>, n_repeated long"), "spans")
+    for done in (found, shared, again, classes, large, pieces, verdicts):
+        drop_materialized(done)
+    return out
 
 
-def dedup(docs: DataFrame, length: int = 400, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, keep_bytes: bool = False) -> DataFrame:
-    """Per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, and with keep_bytes the remaining bytes (null where nothing goes)."""
-    seed = min(seed, max(1, length // 2))
+def dedup(docs: DataFrame, length: int = 400, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, keep_bytes: bool = False, report: int | None = None) -> DataFrame:
+    """Per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, with report the bytes in repeated strings of so many bytes (n_repeated), and with keep_bytes the remaining bytes (null where nothing goes)."""
+    seed = min(seed, max(1, min(length, report or length) // 4))
     rows = materialize(keyed(docs, id_col, text_col), "texts")
-    spans = materialize(removed(docs, length, seed, id_col, text_col, rows, group_bytes), "spans")
-    where = spans.join(rows.groupBy("k1", "k2").agg(F.min("id").alias("of")), ["k1", "k2"])
+    spans = removed(docs, length, report, seed, id_col, text_col, rows, group_bytes)
+    where = spans.where("size(removed) > 0").join(rows.groupBy("k1", "k2").agg(F.min("id").alias("of")), ["k1", "k2"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,16 +377,19 @@ def dedup(docs: DataFrame, length: int = 400, seed: int = SEED, id_col: str = "d
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(where, F.col("id").eqNullSafe(F.col("of"))).select("text", "k1", "k2", "removed")
     done = texts.mapInArrow(cut, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept binary").dropDuplicates(["k1", "k2"])
+    if report:
+        done = done.join(spans.select("k1", "k2", "n_repeated"), ["k1", "k2"], "full")
     found = rows.join(done, ["k1", "k2"], "left")
-    cols = [F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256")]
+    number = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    cols = [F.col("id").alias(id_col), "n_bytes", number("n_removed"), number("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), *([number("n_repeated")] if report else [])]
     return found.select(*cols, *(["k1", "k2", "kept"] if keep_bytes else []))
 
 
 def cut_text(docs: DataFrame, length: int = 400, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """Whole rows of docs with the repeated strings cut from their texts. Where a cut goes through a character, its other bytes go too; a count of code points in chars_col follows the text."""
-    seed = min(seed, max(1, length // 2))
+    seed = min(seed, max(1, length // 4))
     rows = materialize(keyed(docs, id_col, text_col), "texts")
-    spans = materialize(removed(docs, length, seed, id_col, text_col, rows, GROUP_BYTES), "spans")
+    spans = removed(docs, length, None, seed, id_col, text_col, rows, GROUP_BYTES)
     lost = rows.join(spans, ["k1", "k2"]).select(F.col("id").alias("__loser"), F.struct("k1", "k2", "removed").alias("lost")).groupBy("__loser").agg(F.collect_set("lost").alias("__lost"))
     joined = docs.join(lost, F.col(id_col).eqNullSafe(F.col("__loser")), "left").drop("__loser")
     names = docs.columns
