@@ -28,7 +28,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linededup.dedup(table(spark, sf_dir, "documents"), keep_text=False)
+    found = linededup.dedup(table(spark, sf_dir, "documents"), min_words=1, sentence_words=8)
     spans = F.transform("removed", lambda x: F.concat_ws("-", x["start"], x["end"]))
     return found.withColumn("removed", F.array_join(spans, ","))
 
@@ -61,7 +61,8 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.dedup(table(spark, sf_dir, "documents"), length=400)
+    # n_repeated counts strings of 200 bytes: passages of over 50 words need not have 400
+    return suffixes.dedup(table(spark, sf_dir, "documents"), length=400, report=200)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,21 +91,51 @@ FROM turns GROUP BY conv_id
 OP3_SQL = r"""
 WITH cut AS (
   SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
-), units AS (
+), lines AS (
   SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS n, len(parts) AS m FROM cut
-), spans AS (
-  SELECT *, length(line) + (n < m)::INT AS size, sum(length(line) + (n < m)::INT) OVER (PARTITION BY doc_id ORDER BY n) AS stop,
-    regexp_replace(trim(regexp_replace(lower(line), '\s+', ' ', 'g')), ' +', ' ', 'g') AS unit FROM units
+), lined AS (
+  SELECT doc_id, line || CASE WHEN n < m THEN chr(10) ELSE '' END AS line, n,
+    sum(length(line) + (n < m)::INT) OVER (PARTITION BY doc_id ORDER BY n) AS stop FROM lines
+), placed AS (
+  SELECT doc_id, line, n, stop - length(line) AS start, stop, regexp_extract_all(line, '[^.!?。！？]+[.!?。！？]*|[.!?。！？]+') AS pieces FROM lined
+), pieces AS (
+  SELECT doc_id, n, start AS base, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS k FROM placed WHERE len(pieces) > 1
+), sentences AS (
+  SELECT doc_id, n, piece, base + sum(length(piece)) OVER (PARTITION BY doc_id, n ORDER BY k) AS stop FROM pieces
+), units AS (
+  SELECT doc_id, n, start, stop, line AS unit, true AS whole FROM placed
+  UNION ALL SELECT doc_id, n, stop - length(piece), stop, piece, false FROM sentences
+), normal AS (
+  SELECT doc_id, n, start, stop, whole, trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) AS unit FROM units
+), sized AS (
+  SELECT *, CASE WHEN unit = '' THEN 0 ELSE len(string_split(unit, ' ')) END AS words,
+    max(CASE WHEN whole THEN CASE WHEN unit = '' THEN 0 ELSE len(string_split(unit, ' ')) END END) OVER (PARTITION BY doc_id, n) AS line_words FROM normal
 ), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id, n) > 1 AND len(string_split(unit, ' ')) >= 8 AS gone FROM spans
+  SELECT doc_id, start, stop, row_number() OVER (PARTITION BY unit ORDER BY doc_id, start, stop) > 1 AS gone, count(*) OVER (PARTITION BY unit) AS copies
+  FROM sized WHERE (whole AND words >= 1) OR (NOT whole AND words >= 8 AND words < line_words)
+), repeated AS (
+  SELECT * FROM ranked WHERE copies > 1
+), runs AS (
+  SELECT kind, doc_id, start, stop, coalesce(start > max(stop) OVER (PARTITION BY kind, doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh
+  FROM (SELECT 'gone' AS kind, doc_id, start, stop FROM repeated WHERE gone UNION ALL SELECT 'any', doc_id, start, stop FROM repeated)
+), numbered AS (
+  SELECT *, sum(fresh::INT) OVER (PARTITION BY kind, doc_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM runs
+), islands AS (
+  SELECT kind, doc_id, island, min(start) AS start, max(stop) AS stop FROM numbered GROUP BY ALL
+), longest AS (
+  SELECT doc_id, max(stop - start) AS longest FROM islands WHERE kind = 'any' GROUP BY doc_id
+), counted AS (
+  SELECT doc_id, count(*) AS n FROM repeated WHERE gone GROUP BY doc_id
+), gaps AS (
+  SELECT doc_id, start, stop, lag(stop, 1, 0) OVER (PARTITION BY doc_id ORDER BY start) AS before FROM islands WHERE kind = 'gone'
 ), kept AS (
-  SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, coalesce(sum(size) FILTER (WHERE gone), 0) AS removed_chars,
-    coalesce(string_agg(line || CASE WHEN n < m THEN chr(10) ELSE '' END, '' ORDER BY n) FILTER (WHERE NOT gone), '') AS kept,
-    coalesce(string_agg((stop - size)::INT || '-' || stop::INT, ',' ORDER BY n) FILTER (WHERE gone), '') AS removed
-  FROM ranked GROUP BY doc_id
+  SELECT g.doc_id, sum(stop - start) AS removed_chars, string_agg(start::INT || '-' || stop::INT, ',' ORDER BY start) AS removed,
+    string_agg(substr(text, before::BIGINT + 1, (start - before)::BIGINT), '' ORDER BY start) || substr(any_value(text), max(stop)::BIGINT + 1) AS kept
+  FROM gaps g JOIN cut USING (doc_id) GROUP BY g.doc_id
 )
-SELECT doc_id, length(text)::INT AS n_chars, n_removed::INT AS n_removed, removed_chars::INT AS removed_chars, removed, sha256(kept) AS kept_sha256
-FROM cut JOIN kept USING (doc_id)
+SELECT c.doc_id, length(c.text)::INT AS n_chars, coalesce(counted.n, 0)::INT AS n_removed, coalesce(removed_chars, 0)::INT AS removed_chars,
+  coalesce(removed, '') AS removed, coalesce(longest, 0)::INT AS longest_repeat, coalesce(kept, c.text) AS kept, sha256(coalesce(kept, c.text)) AS kept_sha256
+FROM cut c LEFT JOIN kept USING (doc_id) LEFT JOIN longest USING (doc_id) LEFT JOIN counted USING (doc_id)
 """
 
 #: The same rows as op7_warc's. Base32 comes from 20 bits (five hexadecimal digits) at a time.

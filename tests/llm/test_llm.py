@@ -215,12 +215,24 @@ def test_thin_is_exact_similarity(spark):
 
 
 def test_lines(spark):
-    rows = [(3, "A long  line of eight words stands here now\nshort\n"), (1, "a long line of eight words stands here now\nshort"), (2, None), (4, ""), (5, "x\na long line of eight words stands here now\na long line of eight words stands here now\ny")]
+    line = "a long line of eight words stands here now"
+    rows = [(3, "A long  line of eight words stands here now\nshort\n"), (1, line + "\nshort"), (2, None), (4, ""), (5, f"x\n{line}\n{line}\ny")]
     got = {r.doc_id: r for r in linededup.dedup(frame(spark, rows)).collect()}
-    assert (got[1].n_removed, got[3].n_removed, got[5].n_removed) == (0, 1, 2)
-    assert got[3].kept == "short\n" and got[5].kept == "x\ny" and [tuple(s) for s in got[3].removed] == [(0, 44)]
+    assert (got[1].n_removed, got[3].n_removed, got[5].n_removed) == (0, 2, 2)
+    assert got[3].kept == "" and got[5].kept == "x\ny" and [tuple(s) for s in got[3].removed] == [(0, 50)]
     assert got[2].kept == "" and linededup.dedup(frame(spark, [])).count() == 0
     assert linededup.dedup(frame(spark)).count() == len(ODD)
+    assert {r.doc_id: r.kept for r in linededup.dedup(frame(spark, rows), min_words=8).collect()}[3] == "short\n"
+
+
+def test_sentences_inside_lines(spark):
+    """A passage in the middle of different lines goes, but for the part sentences at its ends."""
+    passage = "One two three four five six seven eight. Nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen!"
+    rows = [(1, f"Before it. {passage} After."), (2, f"Another start. {passage} And another end."), (3, "Before it.")]
+    got = {r.doc_id: r for r in linededup.dedup(frame(spark, rows)).collect()}
+    assert got[1].kept == rows[0][1] and got[2].kept == "Another start. And another end." and got[2].n_removed == 2 and got[3].n_removed == 0
+    assert got[1].longest_repeat == got[2].longest_repeat == len(passage) + 1 and got[3].longest_repeat == 0
+    assert {r.doc_id: r.n_removed for r in linededup.dedup(frame(spark, rows), sentence_words=0).collect()} == {1: 0, 2: 0, 3: 0}
 
 
 def test_paragraphs():
@@ -419,11 +431,34 @@ def cover(rows, length):
         yield i, len(x), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()
 
 
-@pytest.mark.parametrize("length,group", [(400, 1 << 21), (60, 1 << 21), (60, 500)])
-def test_suffixes(spark, length, group):
+@pytest.mark.parametrize("length,group,report", [(400, 1 << 21, 200), (60, 1 << 21, None), (60, 3000, None), (60, 3000, 90)])
+def test_suffixes(spark, length, group, report):
+    """group 3000: groups of more bytes are ordered by the distributed form."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    got = sorted(map(tuple, suffixes.dedup(docs, length, group_bytes=group).collect()))
-    assert got == sorted(cover(texts(), length))
+    got = sorted(map(tuple, suffixes.dedup(docs, length, group_bytes=group, report=report).collect()))
+    assert [r[:5] for r in got] == sorted(cover(texts(), length))
+    if report:
+        assert [(r[0], r[5]) for r in got] == sorted((r[0], r[2]) for r in cover(texts(), report))
+
+
+def test_suffixes_of_a_hot_passage(spark):
+    """One passage in many surroundings, too much for one group: the distributed form gives what brute force gives."""
+    r = np.random.default_rng(5)
+    word = lambda: "".join(chr(97 + x) for x in r.integers(0, 26, 6))
+    passage = " ".join(word() for _ in range(12))
+    rows = [(i, " ".join([word() for _ in range(int(r.integers(0, 6)))] + [passage[: int(r.integers(60, len(passage) + 1))]] + [word() for _ in range(int(r.integers(0, 6)))])) for i in range(60)]
+    got = sorted(map(tuple, suffixes.dedup(frame(spark, rows), 40, group_bytes=200).collect()))
+    assert got == sorted(cover(rows, 40))
+
+
+@pytest.mark.parametrize("n,top", [(0, 1), (1, 1), (4, 2), (30, 1), (31, 2), (200, 3)])
+def test_distributed_order(spark, n, top):
+    from quillspark.llm import cover as C
+
+    t = np.random.default_rng(n).integers(1, top + 1, n)
+    df = spark.createDataFrame([(i, int(x)) for i, x in enumerate(t)], "place long, symbol long")
+    got = sorted(C.ordered(df, n, 10**6).collect(), key=lambda x: x["rank"])
+    assert [x["place"] for x in got] == sorted(range(n), key=lambda i: t[i:].tolist()) and [x["rank"] for x in got] == list(range(1, n + 1))
 
 
 def test_suffixes_odd_rows(spark):
