@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import drop_materialized, materialize
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """links: two columns a, b. Returns node and root, the smallest node that it reaches; nodes without links are absent.
 
+    Rounds go on until one changes nothing; their number grows as the square of the logarithm of the nodes at most.
     Loops and repeated links are harmless; a link with a null end is none. An empty table gives an empty one.
     """
     edges = materialize(links.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     before = None
-    for _ in range(rounds):
+    while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break

@@ -29,8 +29,10 @@ from quillspark.llm.common import materialize
 from quillspark.llm.components import components
 
 PLAN_SAMPLE = 4096
-#: What verifying a pair costs, in keys filed, dealt out and sorted. About 0.003 was measured; skewed bits make more pairs than estimated, so they count more.
-PAIR_COST = 0.01
+#: What verifying a pair costs, in keys filed, dealt out and sorted, as measured.
+PAIR_COST = 0.003
+#: Into how many shares the members of a component are dealt where its smallest id is joined to them.
+SALTS = 16
 #: Keys that a task compares, about.
 TASK_KEYS = 400_000
 #: A group of up to this many fingerprints is compared at once, all with all, as long as few of them are near.
@@ -298,11 +300,21 @@ def classes(fps: DataFrame, radius: int, total: int | None = None, probes: int =
     names = [c for c in fps.columns if c.startswith("w")]
     marked = fps.withColumn("node", F.col("w0") if len(names) == 1 else F.xxhash64(*names))
     distinct = materialize(marked.groupBy("node", *names).agg(F.min(id_col).alias("least")), "fps")
-    roots = components(links(distinct.drop("least"), radius, total, probes)).withColumnRenamed("node", "of")
-    rooted = distinct.join(roots, distinct["node"] == roots["of"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    rooted = materialize(rooted, "rooted")
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(rooted.join(smallest, "root").select("node", "component_id"), "node", "left")
+    of = component_ids(distinct, components(links(distinct.drop("least"), radius, total, probes)))
+    return marked.join(of, "node", "left")
+
+
+def component_ids(known: DataFrame, roots: DataFrame) -> DataFrame:
+    """known: node and its least id. roots: node and root, of nodes with links. Returns node and component_id, the least id of its component.
+
+    Only linked nodes are joined to their component's id, in SALTS shares, so that one large component is no single task.
+    """
+    every = roots.select(F.col("node").alias("of"), "root").union(roots.select(F.col("root").alias("of"), "root")).distinct()
+    linked = materialize(known.select("node", "least").join(every, F.col("node") == F.col("of")).select("node", "least", "root"), "linked")
+    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    smallest = materialize(smallest.select("root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), "smallest")
+    found = linked.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(smallest, ["root", "salt"]).select(F.col("node").alias("member"), "component_id")
+    return known.select("node", "least").join(found, F.col("node") == F.col("member"), "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
 
 
 def bits_at(similarity: float, bits: int) -> int:
@@ -345,14 +357,14 @@ def thin(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int
     near = J.verified(links(known.select("node", *names), total // words, total, words), docs, shingle, similarity, text_col)
     rooted = known.join(components(near).withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node"))
     every = near.union(J.verified(J.candidates(rooted, similarity), docs, shingle, similarity, text_col))
-    roots = components(every).withColumnRenamed("node", "of")
-    rooted = materialize(known.select("node", "least").join(roots, F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = rows.select("id", "node").join(rooted.join(smallest, "root").select("node", "component_id"), "node")
-    gone = found.where("id <> component_id").select(F.col("id").alias("gone")).distinct()
-    left = docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
+    found = rows.select("id", "node").join(component_ids(known, components(every)), "node")
+    # ids that go, and ids of several rows, which alone are looked through for equal rows
+    marks = found.groupBy("id").agg(F.max(F.col("id") != F.col("component_id")).alias("__gone"), (F.count("*") > 1).alias("__several")).where("__gone or __several").withColumnRenamed("id", "__of")
+    left = docs.join(marks, docs[id_col] == marks["__of"], "left").where("not coalesce(__gone, false)")
+    once = left.where("not coalesce(__several, false)").select(*docs.columns)
     place = Window.partitionBy(id_col, text_col).orderBy(F.lit(0))
-    return left.withColumn("__place", F.row_number().over(place)).where(f"__place = 1 or `{id_col}` is null").drop("__place")
+    several = left.where("__several").withColumn("__place", F.row_number().over(place)).where("__place = 1").select(*docs.columns)
+    return once.union(several)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
