@@ -32,7 +32,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANDATORY = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 
 #: Uncompressed bytes after which a task begins another archive; sizes of dictionary and of what it is trained on.
-ARCHIVE_BYTES, DICTIONARY_BYTES, TRAINING_BYTES, MAX_RECORD = 16 << 20, 16 << 10, 1 << 20, 1 << 31
+ARCHIVE_BYTES, DICTIONARY_BYTES, TRAINING_BYTES = 16 << 20, 16 << 10, 1 << 20
 
 
 @dataclass
@@ -155,8 +155,6 @@ def read_archive(data: bytes) -> Iterator[Record]:
                 raise ValueError("a frame is cut off")
             out.append(frame.decompress(view[to : to + (1 << 20)]))
             to += 1 << 20
-            if sum(map(len, out)) > MAX_RECORD:
-                raise ValueError("a record is larger than allowed")
         at = min(to, len(view)) - len(frame.unused_data)
         yield parse_record(b"".join(out))
     if at != len(view):
@@ -178,9 +176,11 @@ def with_digests(pages: DataFrame) -> DataFrame:
 def write(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Archives of all pages: name and content. pages: page_id, url, html."""
     every = with_digests(pages)
-    first = every.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    marked = every.join(first, ["digest", "size"], "left")
-    marked = marked.select("page_id", "url", "payload", "digest", F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    keys = materialize(every.select("page_id", "digest", "size"), "digests")
+    first = materialize(keys.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
+    # only ids and digests meet by digest, which many pages can share; payloads meet what they refer to by their own id
+    again = keys.join(first, ["digest", "size"]).where(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("of"), F.col("digest").alias("own"), "first").distinct()
+    marked = every.join(again, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("own")), "left").select("page_id", "url", "payload", "digest", F.col("first").alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(records: list[bytes]) -> pa.RecordBatch:
