@@ -21,8 +21,10 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where that is unset (tests on one machine)."""
+    """The folder that all executors see: spark.checkpoint.dir, or where that is unset one in the warehouse; on one machine (local mode) a temporary folder, which goes away with the process."""
     at = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
+    if not at and not spark.sparkContext.master.startswith("local["):
+        at = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.quillspark-{spark.sparkContext.applicationId}"
     if not at:
         own = tempfile.mkdtemp(prefix="quillspark-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
