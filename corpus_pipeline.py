@@ -1,6 +1,6 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again.
 
-Toxic documents go, one document of each group of near-duplicates stays, strings of 400 bytes that occur more than once
+Toxic documents go, one document of each group of near-duplicates stays, strings of 200 bytes that occur more than once
 are cut from the texts, documents that hold benchmark passages go, and what is left is encoded.
 """
 
@@ -24,8 +24,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes covered by strings of 400 bytes that also start elsewhere."""
-    return suffixes.cut_text(docs, length=400)
+    """Texts without the bytes covered by strings of 200 bytes that also start elsewhere: passages of over 50 words need not have 400."""
+    return suffixes.cut_text(docs, length=200)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
