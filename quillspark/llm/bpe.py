@@ -4,8 +4,9 @@ compile_merges() turns a merge list into a deterministic automaton over tokens:
 state for each base symbol and an arc for every pair, and applies one merge gadget after the other. The gadget of
 (a, b) -> c takes the arc b out of the state that a leads to, gives every state that has an arc a (and then b) an arc c
 to a new state, and lets that state go on as the state after b did. What is left at the end accepts exactly the
-tokenizations that the merges yield, so a word is encoded by one table-driven pass: for each prefix there is one token
-that ends there and whose arc exists, and the path through those arcs is the encoding. Decoding emits the arcs' labels.
+tokenizations that the merges yield. A word is encoded by one pass over its bytes and its end: a transition table over
+bytes gives the longest token that ends at each place, links give the shorter ones, and of these the one whose arc leaves
+the state reached before it is the one; the path through those arcs is the encoding. Decoding emits the arcs' labels.
 
 Cases: a null or empty text has no ids and decodes to the empty text. Special tokens that stand in a text become their
 ids, as the tokenizers library does. Very long words take time in proportion to their length. Repeated rows are kept.
@@ -34,29 +35,73 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in stays else chr(next(moved)) for b in range(256)]
 
 
+#: The symbol after a word's bytes.
+END = 256
+
+
+class Spelling:
+    """Transitions over bytes and END that follow the longest beginning of a token which ends at each place.
+
+    table: the next state by state and symbol. token: the longest token that ends in a state (-1: none), size: its symbols,
+    shorter: the state of the next shorter one (0: none).
+    """
+
+    def __init__(self, inner: dict[bytes, int], final: dict[bytes, int]):
+        child: list[dict[int, int]] = [{}]
+        own, depth = [-1], [0]
+        for spelled, ids, ends in ((x, y, end) for tokens, end in ((inner, ()), (final, (END,))) for x, y in tokens.items()):
+            at = 0
+            for symbol in (*spelled, *ends):
+                if symbol not in child[at]:
+                    child[at][symbol] = len(child)
+                    child.append({})
+                    own.append(-1)
+                    depth.append(depth[at] + 1)
+                at = child[at][symbol]
+            own[at] = ids
+        n = len(child)
+        table = np.zeros((n, END + 1), dtype=np.int32)
+        fail, self.token, self.size, self.shorter = [0] * n, [-1] * n, [0] * n, [0] * n
+        queue = [0]
+        for at in queue:  # breadth first, so what a state fails to is complete
+            if at:
+                table[at] = table[fail[at]]
+            back = fail[at]  # the longest token that ends here: the state's own string, or that of the state it fails to
+            self.token[at], self.size[at], self.shorter[at] = (own[at], depth[at], back) if own[at] >= 0 else (self.token[back], self.size[back], self.shorter[back])
+            for symbol, to in child[at].items():
+                fail[to] = int(table[at, symbol]) if at else 0
+                table[at, symbol] = to
+                queue.append(to)
+        self.table = memoryview(table.reshape(-1))
+
+
 class Automaton:
-    """The compiled tables: states' arcs as bit rows, token ids by their bytes, and the arc labels for decoding."""
+    """The compiled tables: states' arcs as bit rows, transitions over bytes, and the arc labels for decoding."""
 
     def __init__(self, rows: list[bytes], state: dict[int, int], inner: dict[bytes, int], final: dict[bytes, int], labels: dict[int, str], special: dict[str, int]):
-        self.rows, self.state, self.inner, self.final, self.special = rows, state, inner, final, special
+        self.rows, self.state, self.special = rows, state, special
         self.after = {t: rows[s] for t, s in state.items()}
-        self.longest = max(map(len, [*inner, *final]))
+        self.spelling = Spelling(inner, final)
         self.labels = np.array([labels.get(i, "") for i in range(max(labels) + 1)], dtype=object)
 
     def encode_word(self, word: bytes) -> list[int]:
         """The ids of one pre-split word."""
-        n, inner, after, longest = len(word), self.inner, self.after, self.longest
-        ends: list[tuple[int, int]] = [(0, -1)] * (n + 1)  # for each prefix: where its last token starts, and that token
-        for i in range(1, n + 1):
-            tokens = inner if i < n else self.final
-            for at in range(max(0, i - longest), i):
-                token = tokens.get(word[at:i])
-                if token is not None:
-                    before = ends[at][1]
-                    if at == 0 or (before >= 0 and after[before][token >> 3] >> (token & 7) & 1):
-                        ends[i] = (at, token)
-                        break
-        ids, at = [], n
+        s, after = self.spelling, self.after
+        table, tokens, sizes, shorter = s.table, s.token, s.size, s.shorter
+        ends: list[tuple[int, int]] = [(0, -1)]  # for each prefix: where its last token starts, and that token
+        state = 0
+        for i, symbol in enumerate((*word, END), 1):
+            state = table[state * (END + 1) + symbol]
+            of, found = state, (0, -1)
+            while (token := tokens[of]) >= 0:
+                at = i - sizes[of]
+                before = ends[at][1]
+                if at == 0 or (before >= 0 and before in after and after[before][token >> 3] >> (token & 7) & 1):
+                    found = (at, token)
+                    break
+                of = shorter[of]
+            ends.append(found)
+        ids, at = [], len(word) + 1
         while at:
             at, token = ends[at]
             if token < 0:
