@@ -1,30 +1,31 @@
 """Document fingerprints from closed syncmers.
 
 A k-mer of code points is a closed syncmer if the least hash of its s-mers lies at its first or last s-mer; that depends
-on the k-mer alone, so equal passages give equal anchors wherever they stand. A fingerprint is the number of anchors and
-the SKETCH anchors of least hash, each with its position. The likeness of two fingerprints estimates, from the least
-hashes of both, the share of anchors that they have in common on the commonest shift of positions.
+on the k-mer alone, so equal passages give equal anchors wherever they stand. A fingerprint holds all distinct anchors
+of the text, each with its first position. The likeness of two fingerprints is the share of anchors that they have in
+common on the commonest shift of positions.
 
 Cases: a text without anchors (shorter than k) has its own hash as its only anchor. Null texts count as empty. Equal
-fingerprints have likeness 1. Documents of equal id are ordered by text; a null id comes after all others. One document
-is its own next. No rows give no rows.
+fingerprints have likeness 1. Ids are numbers. Documents of equal id are ordered by text; a null id comes after all
+others. One document is its own next. No rows give no rows.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import input_bytes
 from quillspark.llm.words import mix
 
-K, S, SKETCH = 16, 5, 96
+K, S = 16, 5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,40 +65,41 @@ def anchors(texts: list[str], k: int = K, s: int = S) -> list[tuple[np.ndarray,
     return out
 
 
-def encode(h: np.ndarray, at: np.ndarray, sketch: int = SKETCH) -> str:
-    """The number of anchors, then hash.position of the least, in hexadecimal digits."""
-    return f"{len(h):x}:" + ",".join(f"{x:08x}.{p:x}" for x, p in zip(h[:sketch].tolist(), at[:sketch].tolist(), strict=True))
+def encode(h: np.ndarray, at: np.ndarray) -> str:
+    """Anchors in order of their hashes, hash and position of each as big-endian 32-bit numbers, in Base64."""
+    return base64.b64encode(np.stack([h, at.astype(np.uint64)], axis=1).astype(">u4").tobytes()).decode()
 
 
-def parse(fingerprint: str) -> tuple[int, dict[int, int]]:
-    n, _, rest = fingerprint.partition(":")
-    pairs = (x.partition(".") for x in rest.split(","))
-    return int(n, 16), {int(h, 16): int(p, 16) for h, _, p in pairs}
+def parse(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
+    pairs = np.frombuffer(base64.b64decode(fingerprint), ">u4").reshape(-1, 2)
+    return pairs[:, 0].astype(np.uint64), pairs[:, 1].astype(np.int64)
 
 
-def likeness(one: str, other: str) -> float:
-    """0 to 1. Hashes up to the lesser of the two sketches' reach are complete on both sides, so they decide."""
-    if one == other:
+def likeness(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> float:
+    """0 to 1, of two texts' anchors (hashes in ascending order, positions)."""
+    shared, i, j = np.intersect1d(one[0], other[0], assume_unique=True, return_indices=True)
+    if not len(shared):
+        return 0.0
+    if len(shared) == len(one[0]) == len(other[0]) and np.array_equal(one[1], other[1]):
         return 1.0
-    (n, a), (m, b) = parse(one), parse(other)
-    reach = min([max(x) for x, size in ((a, n), (b, m)) if len(x) < size], default=1 << 32)
-    a, b = ({h: p for h, p in x.items() if h <= reach} for x in (a, b))
-    shifts = Counter(a[h] - b[h] for h in a.keys() & b.keys())
-    return max(shifts.values(), default=0) / len(a.keys() | b.keys()) if a or b else 0.0
+    shifts = np.unique(one[1][i].astype(np.int64) - other[1][j].astype(np.int64), return_counts=True)[1]
+    return float(shifts.max() / (len(one[0]) + len(other[0]) - len(shared)))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = 16 << 20, most: int = 1 << 16) -> tuple[DataFrame, int]:
     """Rows dealt to blocks of neighbouring ids, each with a copy of the rows that follow its last one (role 1).
 
-    Blocks are ranges of ids; what the driver learns is the largest id of each block, of at most `most` blocks.
+    Blocks are ranges of ids between approximate quantiles, so that outlying ids don't matter; what the driver learns is
+    the largest id of each block. `most` bounds the number of blocks, which are read as streams, not what they hold.
     """
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    low, high = rows.agg(F.min("id"), F.max("id")).first()
-    low, high = low or 0, high or 0
     blocks = int(min(most, max(12, input_bytes(docs) // block_bytes)))
-    width = max(1, -(-(high - low + 1) // blocks))
-    rows = rows.withColumn("block", F.coalesce(F.floor((F.col("id") - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("int"))
+    place = F.col("id").cast("double")
+    cuts = rows.agg(F.percentile_approx(place, [k / blocks for k in range(1, blocks)], 20 * blocks)).first()[0] or []
+    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    rows = Bucketizer(splits=splits, inputCol="place", outputCol="block", handleInvalid="keep").transform(rows.withColumn("place", place)) if len(splits) > 2 else rows.withColumn("block", F.when(F.col("id").isNotNull(), 0))
+    rows = rows.withColumn("block", F.when(F.col("id").isNull(), -1).otherwise(F.col("block")).cast("int")).drop("place")
     tops = sorted(((r[0], r[1]) for r in rows.groupBy("block").agg(F.max("id")).collect()), reverse=True)
     feeds = [(b, top, tops[i - 1][0]) for i, (b, top) in enumerate(tops)]  # the first rows of a block follow the last of the one above it
     top = docs.sparkSession.createDataFrame(feeds, f"block int, top {kind}, feeds int")
@@ -116,10 +118,10 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def work(ids: list, texts: list[str], after: list[str], kinds: pa.DataType) -> pa.RecordBatch:
         """after: the text that follows each of texts."""
         edited = [t[: len(t) - len(t) // 3] + n[: len(t) // 3] for t, n in zip(texts, after, strict=True)]
-        prints = [encode(h, a) for h, a in anchors([*texts, after[-1], *edited])]
+        prints = anchors([*texts, after[-1], *edited])
         n = len(texts)
         own, then, changed = prints[:n], prints[1 : n + 1], prints[n + 1 :]
-        return pa.RecordBatch.from_arrays([pa.array(ids, kinds), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]), pa.array(own), pa.array(changed), pa.array([likeness(a, b) for a, b in zip(own, changed, strict=True)]), pa.array([likeness(a, b) for a, b in zip(own, then, strict=True)])], names=[id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, kinds), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]), pa.array([encode(*x) for x in own]), pa.array([encode(*x) for x in changed]), pa.array([likeness(a, b) for a, b in zip(own, changed, strict=True)]), pa.array([likeness(a, b) for a, b in zip(own, then, strict=True)])], names=[id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []

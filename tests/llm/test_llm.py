@@ -87,8 +87,36 @@ def test_language_model_prefers_known_words(spark):
 
 
 def test_em_prefers_what_predicts():
-    w = lm.learn([(3, 80, 8, 900), (3, lm.NONE, 8, 100), (0, lm.NONE, 16, 50)])
-    assert w[3][0] > 0.5 and np.allclose(w.sum(axis=1), 1) and (w > 0).all()
+    w = lm.learn([(3, lm.NONE, 80, 8, 900), (3, lm.NONE, lm.NONE, 8, 100), (0, lm.NONE, lm.NONE, 16, 50), (44, 90, 20, 8, 70)])
+    assert w[3][1] > 0.5 and w[44][0] > 0.5 and np.allclose(w.sum(axis=1), 1) and (w > 0).all()
+
+
+def test_scores_are_the_mixture(spark):
+    """Given weights, the score is the interpolation of relative frequencies, by brute force."""
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(4)
+    rows = [(i, " ".join(r.choice(list("abcdef"), int(r.integers(0, 9))))) for i in range(60)]
+    weights = r.random((2 * lm.BUCKETS, 4))
+    got = {x.doc_id: x.score for x in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 40, weights=weights).collect()}
+    grams = [Counter(), Counter(), Counter()]
+    padded = {i: [None, None, *t.split(), None] for i, t in rows}
+    for i, t in padded.items():
+        if i < 40:
+            for k in range(3):
+                grams[k].update(tuple(t[j - k : j + 1]) for j in range(2, len(t)))
+    n, v = sum(grams[0].values()), len(grams[0])
+    power = lambda c: min(int(math.log2(c)) + 1, lm.BUCKETS - 1)
+    for i, t in padded.items():
+        want = 0.0
+        for j in range(2, len(t)):
+            last = grams[0][(t[j - 1],)]
+            pair = grams[0][(None,)] if j == 2 else grams[1][tuple(t[j - 2 : j])]
+            w = weights[lm.BUCKETS + power(pair) if pair else power(last) if last else 0].copy()
+            w[0], w[1] = w[0] * (pair > 0), w[1] * (last > 0)
+            p = [grams[2][tuple(t[j - 2 : j + 1])] / max(pair, 1), grams[1][tuple(t[j - 1 : j + 1])] / max(last, 1), grams[0][(t[j],)] / n, 1 / (v + 1)]
+            want += math.log10(sum(a * b for a, b in zip(w, p, strict=True)) / w.sum())
+        assert got[i] == pytest.approx(want, rel=1e-9)
 
 
 def test_language_model_odd_rows(spark):
@@ -329,8 +357,37 @@ def test_automaton_of_a_small_vocabulary():
 # -- op6
 
 
+def brute_anchors(text, k=16, s=5):
+    """Distinct closed syncmers by definition: hash to first position, with plain integers."""
+    top = 1 << 64
+
+    def spread(h):
+        h = (h ^ h >> 33) * 0xFF51AFD7ED558CCD % top
+        h = (h ^ h >> 33) * 0xC4CEB9FE1A85EC53 % top
+        return h ^ h >> 33
+
+    def value(part):
+        h = 0
+        for c in part:
+            h = (h * 0x9E3779B97F4A7C15 + ord(c)) % top
+        return spread(h)
+
+    small = [value(text[i : i + s]) for i in range(len(text) - s + 1)]
+    out = {}
+    for i in range(len(text) - k + 1):
+        inside = small[i : i + k - s + 1]
+        if min(inside) in (inside[0], inside[-1]):
+            out.setdefault(value(text[i : i + k]) >> 32, i)
+    return out or {int.from_bytes(hashlib.sha256(text.encode()).digest()[:4], "little"): 0}
+
+
+def brute_likeness(one, other):
+    shifts = Counter(one[h] - other[h] for h in one.keys() & other.keys())
+    return max(shifts.values(), default=0) / len(one.keys() | other.keys())
+
+
 def test_syncmers(spark):
-    rows = [(i, t) for i, t in texts()] + [(9001, ""), (9002, None), (9003, "ab"), (9004, "x" * 50), (9005, "x" * 50)]
+    rows = [(i, t) for i, t in texts() if len(t or "") < 5000] + [(9001, ""), (9002, None), (9003, "ab"), (9004, "x" * 50), (9005, "x" * 50), (1 << 40, "an id far from the others, " * 3)]
     got = {r.doc_id: r for r in syncmers.fingerprint_edits(frame(spark, rows)).collect()}
     order = sorted(((i, t or "") for i, t in rows), reverse=True)
     for k, (i, t) in enumerate(order):
@@ -338,9 +395,10 @@ def test_syncmers(spark):
         edited = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
         r = got[i]
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        for text, fp in ((t, r.fingerprint), (edited, r.edited_fingerprint)):
-            assert syncmers.encode(*syncmers.anchors([text])[0]) == fp
-        assert r.near_next == syncmers.likeness(r.fingerprint, syncmers.encode(*syncmers.anchors([after])[0])) and 0 <= r.near_edited <= 1
+        own, changed, following = map(brute_anchors, (t, edited, after))
+        for want, fp in ((own, r.fingerprint), (changed, r.edited_fingerprint)):
+            assert dict(zip(*(x.tolist() for x in syncmers.parse(fp)), strict=True)) == want
+        assert r.near_edited == pytest.approx(brute_likeness(own, changed)) and r.near_next == pytest.approx(brute_likeness(own, following))
     long = [r for i, r in got.items() if r.n_chars > 400 and i < 9000]
     assert np.mean([r.near_edited for r in long]) > np.mean([r.near_next for r in long]) + 0.2
 
