@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import words as W
+from quillspark.llm.common import tidy
 
 ITEM_BYTES = 8 << 20
 #: Pairs of windows and items that a block table may give at once.
@@ -157,6 +158,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, similari
     found = None
     for items in item_blocks(benchmark, item_id, item_text, item_bytes):
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch], items: list = items) -> Iterator[pa.RecordBatch]:
             index = Index(items, words, similarity, radius)
             for batch in batches:
@@ -180,6 +182,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, words: int = 5, similarity: flo
     at_text = docs.columns.index(text_col)
     for items in item_blocks(benchmark, item_id, item_text, item_bytes):
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch], items: list = items) -> Iterator[pa.RecordBatch]:
             index = Index(items, words, similarity, radius)
             for batch in batches:

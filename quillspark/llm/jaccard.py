@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import words as W
-from quillspark.llm.common import materialize
+from quillspark.llm.common import materialize, tidy
 
 ORDER_SAMPLE, COMMON = 8192, 1 << 18
 #: Pairs of a group that are compared at once.
@@ -53,6 +53,7 @@ def nodes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 def common(docs: DataFrame, shingle: int, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Shingles (hashes, ascending) that several texts of a sample have, and how many have each."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.chunks(batch.column(0)):
@@ -80,6 +81,7 @@ def prefixes(h: np.ndarray, first: np.ndarray, known: tuple[np.ndarray, np.ndarr
 def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float, text_col: str = "text") -> DataFrame:
     """The pairs a, b (nodes of docs) whose sets have the similarity."""
 
+    @tidy
     def all_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.chunks(batch.column(0)):
@@ -89,6 +91,7 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float,
                 at = np.flatnonzero(marks[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1))
                 yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array([h[first[k] : first[k + 1]].tobytes() for k in at], pa.binary())], names=["node", "shingles"])
 
+    @tidy
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit = []
@@ -146,6 +149,7 @@ def meet(key: np.ndarray, size: np.ndarray, at: np.ndarray, root: np.ndarray, si
 def candidates(known: DataFrame, similarity: float) -> DataFrame:
     """known: node, root, size and prefix (keys as bytes) of distinct sets. Returns pairs a, b of nodes of different roots that can have the similarity; none that has it is missing."""
 
+    @tidy
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
@@ -156,6 +160,7 @@ def candidates(known: DataFrame, similarity: float) -> DataFrame:
                 size = part.column(2).to_numpy()[who].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), *(part.column(i).take(pa.array(who)) for i in (0, 1)), pa.array(size << 32 | place)], names=["key", "node", "root", "place"])
 
+    @tidy
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # rows of keys whose group may go on
         last = None

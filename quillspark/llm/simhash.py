@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import jaccard as J
 from quillspark.llm import words as W
-from quillspark.llm.common import materialize
+from quillspark.llm.common import materialize, tidy
 from quillspark.llm.components import components
 
 PLAN_SAMPLE = 4096
@@ -45,6 +45,7 @@ def fingerprints(docs: DataFrame, shingle: int, words: int = 1, id_col: str = "d
     """doc_id and w0, w1, ... (64 bits each, as signed longs) of whole texts: w0 from the shingles' XXH64, the others from other hashes of it."""
     names = [f"w{k}" for k in range(words)]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
@@ -231,6 +232,7 @@ def _links(fps: DataFrame, plan: Plan, rule: Rule, names: list[str], parts: int,
     def matrix(batch: pa.RecordBatch | pa.Table, first: int) -> np.ndarray:
         return np.stack([batch.column(first + i).to_numpy() for i in range(len(names))], axis=1).view(np.uint64) if batch.num_rows else np.zeros((0, len(names)), np.uint64)
 
+    @tidy
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
@@ -242,6 +244,7 @@ def _links(fps: DataFrame, plan: Plan, rule: Rule, names: list[str], parts: int,
         extra = [pa.array(words[:, i].view(np.int64)) if words is not None else pa.nulls(len(a), pa.int64()) for i in range(len(names))]
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([key] * len(a), pa.int64()), pa.array(np.full(len(a), number), pa.int32()), *extra], names=["a", "b", "key", "block", *names])
 
+    @tidy
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key. A group beyond one block goes on as rows with its key and a block number."""
         key, node, words = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(names)), np.uint64)
@@ -327,6 +330,7 @@ def described(docs: DataFrame, shingle: int, similarity: float, words: int, id_c
     known = J.common(docs, shingle, text_col)
     names = [f"w{k}" for k in range(words)]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import cover
-from quillspark.llm.common import drop_materialized, input_bytes, materialize
+from quillspark.llm.common import drop_materialized, input_bytes, materialize, tidy
 from quillspark.llm.words import mix
 
 #: Bytes hashed for grouping, and a quarter of the least length at most.
@@ -159,6 +159,7 @@ def utf8(column: pa.Array) -> list[bytes]:
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per row: id, the text's key (k1, k2), n_bytes and the digest of the whole text."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
@@ -172,6 +173,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def snippets(docs: DataFrame, text_col: str, length: int, reach: int, seed: int) -> DataFrame:
     """Rows (hash, digest, k1, k2, lo, hi, stop, several): runs of windows of `length` bytes, where their snippet stops (`reach` bytes after the last start, or at the text's end) and its digest."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
@@ -206,6 +208,7 @@ _RUNS = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64()), ("size", p
 def ordered(rows: DataFrame, sizes: list[int]) -> DataFrame:
     """rows: (hash, digest, data, starts), sorted by hash within each partition. Per snippet with repeated strings of one of the sizes: hash, digest, and the runs of their starts."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, bytes, int]] = []
 
@@ -259,6 +262,7 @@ def ordered_by_spark(pieces: DataFrame, sizes: list[int]) -> DataFrame:
     before = F.sum(F.length("data") + 1).over(Window.partitionBy("pid").orderBy("hash", "digest").rowsBetween(Window.unboundedPreceding, -1))
     placed = materialize(ranged.join(offset, "pid").select("hash", "digest", "data", "starts", (F.coalesce(before, F.lit(0)) + F.col("base")).alias("first")), "large-placed")
 
+    @tidy
     def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -269,6 +273,7 @@ def ordered_by_spark(pieces: DataFrame, sizes: list[int]) -> DataFrame:
     out = None
     for size in sizes:
 
+        @tidy
         def digests(batches: Iterator[pa.RecordBatch], size: int = size) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for data, starts, first in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
@@ -314,6 +319,7 @@ def removed(docs: DataFrame, length: int, report: int | None, seed: int, id_col:
     where = rows.groupBy("k1", "k2").agg(F.min("id").alias("of"))
     asked = asked.join(where, ["k1", "k2"])
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
@@ -338,6 +344,7 @@ def removed(docs: DataFrame, length: int, report: int | None, seed: int, id_col:
     hits = hits.select("k1", "k2", F.explode(F.transform("runs", lambda r: F.struct(r["size"].alias("size"), (F.col("lo") + r["from"]).alias("start"), (F.col("lo") + r["to"] + r["size"]).alias("end")))).alias("span"))
     gathered = hits.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("span")).alias("spans"))
 
+    @tidy
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, marked = [], []
@@ -359,6 +366,7 @@ def dedup(docs: DataFrame, length: int = 400, seed: int = SEED, id_col: str = "d
     spans = removed(docs, length, report, seed, id_col, text_col, rows, group_bytes)
     where = spans.where("size(removed) > 0").join(rows.groupBy("k1", "k2").agg(F.min("id").alias("of")), ["k1", "k2"])
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
@@ -396,6 +404,7 @@ def cut_text(docs: DataFrame, length: int = 400, seed: int = SEED, id_col: str =
     at_text = names.index(text_col)
     at_chars = names.index(chars_col) if chars_col in names else None
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):

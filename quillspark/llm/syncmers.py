@@ -22,7 +22,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import input_bytes
+from quillspark.llm.common import input_bytes, tidy
 from quillspark.llm.words import mix
 
 K, S = 16, 5
@@ -123,6 +123,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         own, then, changed = prints[:n], prints[1 : n + 1], prints[n + 1 :]
         return pa.RecordBatch.from_arrays([pa.array(ids, kinds), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]), pa.array([encode(*x) for x in own]), pa.array([encode(*x) for x in changed]), pa.array([likeness(a, b) for a, b in zip(own, changed, strict=True)]), pa.array([likeness(a, b) for a, b in zip(own, then, strict=True)])], names=[id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
         texts: list[str] = []

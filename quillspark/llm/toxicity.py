@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import words as W
-from quillspark.llm.common import remainder
+from quillspark.llm.common import remainder, tidy
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 16, 8, (1, 2, 3)
 #: Labelled rows of each class that training takes at most.
@@ -163,6 +163,7 @@ def calibrate(scores: np.ndarray, labels: np.ndarray, langs: np.ndarray, counts:
 def histogram(docs: DataFrame, given: DataFrame, fitted: DataFrame, m: Model, id_col: str, text_col: str, lang_col: str) -> list:
     """Rows of lang, bin (of the logit), toxic and n: how the labelled rows outside the fitted sample score."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = m.prepare()
         for batch in batches:
@@ -187,6 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, learne
     some = [given.where(F.col("toxic") == c).orderBy(F.xxhash64(id_col), id_col).limit(min(per_class, counts.get(c, 0) - counts.get(c, 0) // 5)) for c in (0, 1)]
     sample = some[0].union(some[1]).withColumnRenamed(id_col, "labelled")
 
+    @tidy
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
@@ -228,6 +230,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     names = [c for c in docs.columns if c not in ("score", "predicted", "threshold", "flagged")]
     kept = docs.select(*names)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = model.prepare()
         for batch in batches:
@@ -259,6 +262,7 @@ def reject(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, text_
     model = train(docs, labels, per_class, learned=remainder("doc_id") != 0)
     at_text, at_lang = docs.columns.index(text_col), docs.columns.index(lang_col)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = model.prepare()
         for batch in batches:

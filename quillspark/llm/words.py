@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes of text handled at once; longer texts are handled alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
