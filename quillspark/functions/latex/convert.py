@@ -3,30 +3,40 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
+import numpy as np
+
+from quillspark.functions.latex import styles
 from quillspark.functions.latex import symbols as S
 from quillspark.functions.latex.parse import Node, parse
 
 LEVELS = {"part": 1, "chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4, "subparagraph": 5}
-EXPANSIONS, MOST_EXPANSIONS = 24, 5000
+#: How deeply expansions nest. A macro that reached it is recursive and isn't expanded inside itself any more.
+EXPANSIONS = 24
+#: Declarations that hold to the end of their group.
+SWITCHES = {"bf": "*{}*", "bfseries": "*{}*", "it": "_{}_", "itshape": "_{}_", "em": "_{}_", "sl": "_{}_", "slshape": "_{}_", "sc": "#smallcaps[{}]", "scshape": "#smallcaps[{}]"}
 ESCAPED = re.compile(r"([*_#@<`\[\]$])")
 WRAPS = {"emph": "_{}_", "textit": "_{}_", "textsl": "_{}_", "textbf": "*{}*", "underline": "#underline[{}]", "uline": "#underline[{}]", "sout": "#strike[{}]", "textsc": "#smallcaps[{}]", "textsuperscript": "#super[{}]", "textsubscript": "#sub[{}]", "footnote": "#footnote[{}]", "thanks": "#footnote[{}]", "mbox": "{}", "fbox": "{}", "textrm": "{}", "textup": "{}", "textnormal": "{}", "text": "{}", "textsf": "{}", "centerline": "{}"}
-LITERAL = {"ldots": "…", "dots": "…", "textellipsis": "…", "LaTeX": "LaTeX", "TeX": "TeX", "S": "§", "P": "¶", "copyright": "©", "textendash": "–", "textemdash": "—", "textbackslash": "\\\\", "textasciitilde": "\\~", "ss": "ß", "ae": "æ", "oe": "œ", "o": "ø", "aa": "å", "i": "ı", "quad": "#h(1em)", "qquad": "#h(2em)", "par": "\n\n", "dag": "†", "ddag": "‡", "pounds": "£"}
+LITERAL = {"ldots": "…", "dots": "…", "textellipsis": "…", "LaTeX": "LaTeX", "TeX": "TeX", "S": "§", "P": "¶", "copyright": "©", "textendash": "–", "textemdash": "—", "textbackslash": "\\\\", "textasciitilde": "\\~", "textasciicircum": "^", "ss": "ß", "ae": "æ", "oe": "œ", "o": "ø", "aa": "å", "i": "ı", "quad": "#h(1em)", "qquad": "#h(2em)", "par": "\n\n", "dag": "†", "ddag": "‡", "pounds": "£"}
 ACCENTS = {"'": "\u0301", "`": "\u0300", "^": "\u0302", '"': "\u0308", "~": "\u0303", "=": "\u0304", ".": "\u0307", "u": "\u0306", "v": "\u030c", "H": "\u030b", "c": "\u0327", "r": "\u030a", "k": "\u0328"}
-SILENT = {"centering": 0, "noindent": 0, "indent": 0, "maketitle": 0, "newline": 0, "small": 0, "large": 0, "Large": 0, "LARGE": 0, "huge": 0, "tiny": 0, "footnotesize": 0, "normalsize": 0, "scriptsize": 0, "bf": 0, "it": 0, "rm": 0, "bfseries": 0, "itshape": 0, "raggedright": 0, "frontmatter": 0, "mainmatter": 0, "backmatter": 0, "makeatletter": 0, "makeatother": 0, "toprule": 0, "midrule": 0, "bottomrule": 0, "hline": 0, "smallskip": 0, "medskip": 0, "bigskip": 0, "hfill": 0, "vfill": 0, "protect": 0, "sloppy": 0, "bibliographystyle": 1, "setlength": 2, "setcounter": 2, "addtocounter": 2, "pagestyle": 1, "thispagestyle": 1, "pagenumbering": 1, "hypersetup": 1, "captionsetup": 1, "graphicspath": 1, "phantom": 1, "vphantom": 1, "hphantom": 1, "cmidrule": 1, "cline": 1, "index": 1, "nocite": 1, "usetikzlibrary": 1, "allowdisplaybreaks": 0, "theoremstyle": 1, "date": 1, "title": 1, "author": 1}
+SILENT = {"centering": 0, "noindent": 0, "indent": 0, "maketitle": 0, "newline": 0, "small": 0, "large": 0, "Large": 0, "LARGE": 0, "huge": 0, "tiny": 0, "footnotesize": 0, "normalsize": 0, "scriptsize": 0, "rm": 0, "tt": 0, "ttfamily": 0, "sffamily": 0, "rmfamily": 0, "and": 0, "raggedright": 0, "frontmatter": 0, "mainmatter": 0, "backmatter": 0, "makeatletter": 0, "makeatother": 0, "toprule": 0, "midrule": 0, "bottomrule": 0, "hline": 0, "smallskip": 0, "medskip": 0, "bigskip": 0, "hfill": 0, "vfill": 0, "protect": 0, "sloppy": 0, "setlength": 2, "setcounter": 2, "addtocounter": 2, "pagestyle": 1, "thispagestyle": 1, "pagenumbering": 1, "hypersetup": 1, "captionsetup": 1, "graphicspath": 1, "phantom": 1, "vphantom": 1, "hphantom": 1, "cmidrule": 1, "cline": 1, "index": 1, "nocite": 1, "usetikzlibrary": 1, "allowdisplaybreaks": 0, "theoremstyle": 1, "date": 1, "title": 1, "author": 1}
 DROP_WARNED = {"newpage", "clearpage", "pagebreak", "cleardoublepage"}
-TRANSPARENT = {"center", "flushleft", "flushright", "quote", "quotation", "minipage", "titlepage", "multicols", "subequations", "small", "abstract", "document", "landscape", "framed", "mdframed"}
+TRANSPARENT = {"center", "flushleft", "flushright", "quote", "quotation", "minipage", "titlepage", "multicols", "subequations", "small", "document", "landscape", "framed", "mdframed"}
 THEOREMS = {"theorem": "Theorem", "lemma": "Lemma", "corollary": "Corollary", "proposition": "Proposition", "definition": "Definition", "remark": "Remark", "example": "Example"}
 CITES = {"cite": "", "citep": "", "parencite": "", "autocite": "", "citet": "prose", "textcite": "prose", "citeauthor": "author", "citeyear": "year"}
 REFS = {"ref", "cref", "Cref", "autoref", "eqref", "pageref", "nameref", "vref"}
 # Units by name, prefixes by name.
 UNITS = {"meter": "m", "metre": "m", "second": "s", "gram": "g", "kilogram": "kg", "ampere": "A", "kelvin": "K", "mole": "mol", "candela": "cd", "hertz": "Hz", "newton": "N", "pascal": "Pa", "joule": "J", "watt": "W", "volt": "V", "ohm": "Ω", "tesla": "T", "liter": "L", "litre": "L", "degree": "°", "celsius": "°C", "percent": "%", "electronvolt": "eV", "bit": "bit", "byte": "B", "hour": "h", "minute": "min", "day": "d"}
 PREFIXES = {"nano": "n", "micro": "µ", "milli": "m", "centi": "c", "kilo": "k", "mega": "M", "giga": "G", "tera": "T"}
+LIMITS = {"sum", "prod", "coprod", "int", "iint", "iiint", "oint", "bigcup", "bigcap", "lim"}
 COUNTERS = {"thepage": "page", "thesection": "heading", "thefigure": "figure", "thetable": "figure.where(kind: table)", "theequation": "math.equation"}
+#: Python frames that the deepest nesting which the parser takes needs.
+FRAMES = 30_000
 LENGTH = re.compile(r"-?[\d.]+\s*(?:pt|em|cm|mm|in)")
 
 
@@ -51,8 +61,8 @@ class Result:
 class Stream:
     """Nodes with a place to read on from."""
 
-    def __init__(self, nodes: list[Node]):
-        self.nodes, self.at = nodes, 0
+    def __init__(self, nodes: list[Node], grouped: bool = False):
+        self.nodes, self.at, self.grouped = nodes, 0, grouped
 
     def blanks(self) -> int:
         at = self.at
@@ -99,7 +109,14 @@ class Converter:
         self.r = Result("", [], [], False)
         self.seen: set[str] = set()
         self.flags: dict[str, bool] = {}
-        self.depth = self.expansions = 0
+        self.depth = 0
+        self.active: list[str] = []  # macros being expanded
+        self.recursive: set[str] = set()
+        self.aliases: dict[str, str] = {}
+        self.delimiters: dict[str, list[str]] = {}
+        self.colors: dict[str, str] = {}
+        self.bib_style: str | None = None
+        self.offsets: np.ndarray | None = None
         self.base = 0  # where an expansion stands in the source
         self.whole = False
         self.theorems = dict(THEOREMS)
@@ -110,24 +127,30 @@ class Converter:
     def span(self, node: Node) -> tuple[int, int]:
         return (self.base, self.base) if self.depth else (node.start, node.end)
 
+    @property
+    def bytes(self) -> np.ndarray:
+        """The byte at which each character begins, and the number of bytes at last."""
+        if self.offsets is None:
+            self.offsets = byte_offsets(self.source)
+        return self.offsets
+
     def place(self, at: int) -> tuple[int, int, int]:
         """Byte, line from 1 and byte column from 1 of a character."""
         if self.lines is None:
             self.lines = [0, *(m.end() for m in re.finditer("\n", self.source))]
         line = bisect_right(self.lines, at)
-        byte = len(self.source[:at].encode("utf-8", "surrogatepass"))
-        return byte, line, 1 + len(self.source[self.lines[line - 1] : at].encode("utf-8", "surrogatepass"))
+        return int(self.bytes[at]), line, 1 + int(self.bytes[at] - self.bytes[self.lines[line - 1]])
 
     def warn(self, node: Node, kind: str, name: str | None = None, reason: str | None = None, severity: str = "warning") -> None:
         a, b = self.span(node)
         (x, l1, c1), (y, l2, c2) = self.place(a), self.place(b)
         shown = {"unsupported_command": f"\\{name} isn't supported", "unsupported_environment": f"environment {name} isn't supported"}.get(kind, f"{kind}: {reason or name}")
-        self.r.warnings.append({"kind": kind, "name": name, "reason": reason, "severity": severity, "message": shown, "snippet": self.source[a:b][:120], "start_line": l1, "start_col": c1, "end_line": l2, "end_col": c2, "byte_start": x, "byte_end": y})
+        self.r.warnings.append({"kind": kind, "name": name, "reason": reason, "severity": severity, "message": shown, "snippet": self.source[a:b], "start_line": l1, "start_col": c1, "end_line": l2, "end_col": c2, "byte_start": x, "byte_end": y})
 
     # -- text
 
-    def text(self, nodes: list[Node]) -> str:
-        s, out = Stream(nodes), []
+    def text(self, nodes: list[Node], grouped: bool = False) -> str:
+        s, out = Stream(nodes, grouped), []
         while s.at < len(s.nodes):
             n = s.nodes[s.at]
             s.at += 1
@@ -148,7 +171,7 @@ class Converter:
                 s.at += 1
             return ""
         if n.kind == "group":
-            return self.text(n.children)
+            return self.text(n.children, grouped=True)
         if n.kind == "math":
             return self.formula(n)
         if n.kind == "raw":
@@ -178,10 +201,14 @@ class Converter:
         return f"<{key}>"
 
     def command(self, n: Node, s: Stream) -> str:
+        if n.text in self.aliases and n.text not in self.macros:
+            n = replace(n, text=self.aliases[n.text])
         name = n.text
         if name in self.macros:
             return self.expand(n, s, self.text)
         plain = name.rstrip("*")
+        if name in SWITCHES or name == "color":
+            return self.switch(name, s)
         if plain in LEVELS:
             return self.section(n, s)
         if name in WRAPS:
@@ -230,7 +257,11 @@ class Converter:
             self.theorems[kind] = self.flat(s.argument())
             s.option()
             return ""
-        if name in ("title", "author", "date", "subtitle", "keywords"):
+        if name == "author":
+            s.option()
+            self.authors(s.argument() or [])
+            return ""
+        if name in ("title", "date", "subtitle", "keywords"):
             s.option()
             self.r.metadata[name] = self.text(s.argument() or []).strip()
             return ""
@@ -244,7 +275,8 @@ class Converter:
             return self.graphics(s)
         if name in ("bibliography", "addbibresource"):
             paths = [p.strip() + ("" if p.strip().endswith(".bib") else ".bib") for p in self.flat(s.argument()).split(",")]
-            return f'#bibliography("{paths[0]}")' if len(paths) == 1 else "#bibliography((" + ", ".join(f'"{p}"' for p in paths) + "))"
+            style = f', style: "{self.bib_style}"' if self.bib_style else ""
+            return f'#bibliography("{paths[0]}"{style})' if len(paths) == 1 else "#bibliography((" + ", ".join(f'"{p}"' for p in paths) + f"){style})"
         if name in ("multicolumn", "multirow"):
             count = self.flat(s.argument()).strip()
             s.argument()
@@ -277,10 +309,26 @@ class Converter:
             return ""
         if name == "frametitle":
             return f"== {self.text(s.argument() or []).strip()}\n\n"
-        if name in ("textcolor", "colorbox"):
+        if name in ("textcolor", "colorbox", "fcolorbox"):
+            fill = self.color(s)
+            if name == "fcolorbox":
+                fill = self.color(s)
+            body = self.text(s.argument() or [])
+            return body if fill is None else f"#text(fill: {fill})[{body}]" if name == "textcolor" else f"#highlight(fill: {fill})[{body}]"
+        if name in ("definecolor", "colorlet"):
+            called = self.flat(s.argument()).strip()
+            model, spec = (self.flat(s.argument()).strip() if name == "definecolor" else "named"), self.flat(s.argument())
+            found = styles.color(model, spec) or self.colors.get(spec.strip())
+            if found:
+                self.colors[called] = found
+            return ""
+        if name == "bibliographystyle":
+            self.bib_style = styles.BIB_STYLE_OF.get(self.flat(s.argument()).strip())
+            return ""
+        if name == "bibitem":
             s.option()
-            s.argument()
-            return self.text(s.argument() or [])
+            key = label_key(self.flat(s.argument()))
+            return f'\n\n#figure(kind: "bibitem", supplement: none, []) {self.label(key)} '
         if name in ("input", "include"):
             self.warn(n, "needs_manual_review", name=self.flat(s.argument()), reason="the file isn't part of the project")
             return ""
@@ -300,6 +348,111 @@ class Converter:
             s.at += 1
         return ""
 
+    def color(self, s: Stream) -> str | None:
+        """The color of the next argument: by the model in brackets, else by a name defined here or a common one."""
+        model = s.option()
+        spec = self.flat(s.argument()).strip()
+        if model is not None:
+            return styles.color(self.flat(model).strip(), spec)
+        return self.colors.get(spec) or styles.COLORS.get(spec.lower())
+
+    def switch(self, name: str, s: Stream) -> str:
+        """A declaration holds for the rest of its group; outside of groups and across paragraphs it is dropped."""
+        fill = self.color(s) if name == "color" else None
+        wrap = SWITCHES.get(name) or (f"#text(fill: {fill})[{{}}]" if fill else None)
+        if wrap is None or not s.grouped or any(x.kind in ("par", "env") for x in s.nodes[s.at :]):
+            return ""
+        rest, s.at = s.nodes[s.at :], len(s.nodes)
+        body = self.text(rest, grouped=True)
+        inner = body.strip()
+        if not inner:
+            return body
+        tail = body[len(body.rstrip()) :]
+        return wrap.format(inner) + tail
+
+    def authors(self, nodes: list[Node]) -> None:
+        """Names and affiliations: people are divided by \\and; what follows a name's first line break is its affiliation; a superscript mark stands for the affiliation with the same mark."""
+        people: list[list[Node]] = [[]]
+        for n in nodes:
+            if n.kind == "command" and n.text.lower() in ("and", "quad", "qquad") and (n.text.lower() == "and" or any(x.kind == "command" and x.text == "textbf" for x in people[-1])):
+                people.append([])
+            else:
+                people[-1].append(n)
+        found: list[tuple[str, list[str], str | None]] = []
+        legend: dict[str, str] = {}
+        for one in people:
+            lines: list[list[Node]] = [[]]
+            for n in one:
+                if n.kind == "command" and n.text in ("\\", "\\*"):
+                    lines.append([])
+                else:
+                    lines[-1].append(n)
+            name, marks = self.marked(lines[0])
+            rest = []
+            for line in lines[1:]:
+                text, mark = self.marked(line)
+                if mark and text:
+                    legend |= dict.fromkeys(mark, text)
+                elif text:
+                    rest.append(text)
+            if name:
+                found.append((name, marks, ", ".join(rest) or None))
+        places: list[str] = []
+        shown = []
+        for name, marks, own in found:
+            of = [legend[m] for m in marks if m in legend] or ([own] if own else [])
+            places += [x for x in of if x not in places]
+            numbers = ",".join(str(places.index(x) + 1) for x in of)
+            shown.append(name + (f"#super[{numbers}]" if numbers else ""))
+        self.r.metadata["author"] = ", ".join(shown)
+        self.r.metadata["affiliations"] = " #linebreak() ".join(f"#super[{i + 1}] {x}" for i, x in enumerate(places))
+
+    def marked(self, nodes: list[Node]) -> tuple[str, list[str]]:
+        """Text without its superscript marks and notes, and the marks."""
+        kept, marks, s = [], [], Stream(nodes)
+        while s.at < len(s.nodes):
+            n = s.nodes[s.at]
+            s.at += 1
+            if n.kind == "command" and n.text in ("textsuperscript", "footnotemark"):
+                marks += re.findall(r"\w+", self.flat(s.option() if n.text == "footnotemark" else s.argument()))
+            elif n.kind == "command" and n.text in ("thanks", "orcidlink", "orcidID"):
+                s.argument()
+            elif n.kind == "math" and n.children and n.children[0].kind == "sign" and n.children[0].text == "^":
+                marks += re.findall(r"\w+", self.flat(n.children[1:]))
+            elif n.kind == "command" and n.text in ("textbf", "textit", "textrm", "texttt"):
+                text, own = self.marked(s.argument() or [])
+                kept.append(Node("text", n.start, n.end, text))
+                marks += own
+            else:
+                kept.append(n)
+        return re.sub(r"\s+", " ", self.text(kept)).strip(" ,"), marks
+
+    def pseudocode(self, s: Stream) -> str:
+        """Numbered lines of an algorithmic body, indented by the blocks that are open."""
+        s.option()
+        lines: list[tuple[int, str, str, list[Node]]] = []
+        depth = 0
+        while s.at < len(s.nodes):
+            n = s.nodes[s.at]
+            s.at += 1
+            rule = styles.PSEUDOCODE.get(n.text.lower()) if n.kind == "command" else None
+            if rule is None:
+                if lines:
+                    lines[-1][3].append(n)
+                continue
+            shown, closing, own, after = rule
+            at = s.blanks()
+            given = [s.nodes[at]] if at < len(s.nodes) and s.nodes[at].kind == "group" else []
+            s.at = at + 1 if given else s.at
+            lines.append((max(0, depth + own), shown, closing, given))
+            depth = max(0, depth + after)
+        out = []
+        for i, (level, shown, closing, nodes) in enumerate(lines):
+            body = re.sub(r"\s+", " ", self.text(nodes)).strip()
+            parts = [f"#strong[{shown}]"] * bool(shown) + [body] * bool(body) + [f"#strong[{closing}]"] * bool(closing)
+            out.append(f"#box(width: 1.7em)[#text(size: 0.85em)[{i + 1}.]]" + "#h(1.2em)" * level + " ".join(parts))
+        return "block(width: 100%, stroke: (top: 0.8pt, bottom: 0.8pt), inset: (y: 4pt))[#align(left)[" + " \\\n  ".join(out) + "]]"
+
     def units(self, nodes: list[Node]) -> str:
         """Names of units joined; \\per starts what is divided by, \\squared and \\cubed are exponents."""
         out, prefix = "", ""
@@ -399,12 +552,19 @@ class Converter:
 
     def define(self, kind: str, s: Stream) -> str:
         if kind == "let":
-            name, other = self.flat(s.argument()).lstrip("\\"), None
+            name = self.flat(s.argument()).lstrip("\\")
             at = s.blanks()
             if at < len(s.nodes) and s.nodes[at].kind == "text" and s.nodes[at].text.lstrip().startswith("="):
                 s.at = at + 1
             other = self.flat(s.argument())
-            self.macros[name] = (0, None, other)
+            called = self.aliases.get(other[1:], other[1:]) if other.startswith("\\") else ""
+            if called in self.macros:
+                self.macros[name] = self.macros[called]
+            elif called:
+                self.aliases[name] = called
+                self.macros.pop(name, None)
+            else:
+                self.macros[name] = (0, None, other)
             return ""
         name = self.flat(s.argument()).lstrip("\\").strip()
         arity, default = 0, None
@@ -417,6 +577,10 @@ class Converter:
                     count += s.nodes[s.at].text
                     s.at += 1
                 arity = count.count("#")
+                delimiters = [re.sub(r"^\d", "", x) for x in count.split("#")[1:]]
+                self.delimiters.pop(name, None)
+                if any(x.strip() for x in delimiters):
+                    self.delimiters[name] = delimiters
             else:
                 digits = self.flat(s.option()).strip()
                 arity = int(digits) if digits.isdigit() else 0
@@ -438,32 +602,50 @@ class Converter:
     texts: tuple[str, ...] = ()
 
     def expand(self, n: Node, s: Stream, convert: Callable[[list[Node]], str]) -> str:
-        arity, default, body = self.macros[n.text]
-        self.expansions += 1
-        if self.depth >= EXPANSIONS or self.expansions > MOST_EXPANSIONS:
-            if self.expansions <= MOST_EXPANSIONS + 1:
-                self.warn(n, "custom_macro", name=n.text, reason="expansions are nested too deeply")
+        name = n.text
+        arity, default, body = self.macros[name]
+        if name in self.recursive and name in self.active:
+            return ""
+        if self.depth >= EXPANSIONS:
+            self.recursive |= set(self.active)
+            self.warn(n, "custom_macro", name=name, reason="expansions are nested too deeply")
             return ""
         given: list[str] = []
         if default is not None:
             option = s.option()
             given.append(default if option is None else self.source_of(option))
-        while len(given) < arity:
-            argument = s.argument()
+        for delimiter in self.delimiters.get(name, [""] * (arity - len(given)))[: max(0, arity - len(given))]:
+            argument = self.until(delimiter, s) if delimiter.strip() else s.argument()
             if argument is None:
                 break
-            given.append(self.source_of(argument))
+            given.append(self.source_of(argument) if isinstance(argument, list) else argument)
         filled = re.sub(r"#(\d)", lambda m: given[int(m[1]) - 1] if 0 < int(m[1]) <= len(given) else m[0], body)
         if not self.depth:
             self.base = n.start
         self.depth += 1
+        self.active.append(name)
         self.texts = (*self.texts, filled)
         try:
             return convert(parse(filled).nodes)
         finally:
             self.depth -= 1
+            self.active.pop()
             self.texts = self.texts[:-1]
 
+    def until(self, delimiter: str, s: Stream) -> str:
+        """The source up to a delimiter, which is passed over; all that is left where it doesn't come."""
+        begun, want = s.at, delimiter.strip()
+        while s.at < len(s.nodes):
+            n = s.nodes[s.at]
+            if n.kind == "text" and want in n.text:
+                cut = n.start + n.text.index(want)
+                head = self.current[s.nodes[begun].start : cut].lstrip()
+                left = n.text[n.text.index(want) + len(want) :]
+                s.nodes = [*s.nodes[: s.at], Node("text", cut + len(want), n.end, left), *s.nodes[s.at + 1 :]]
+                return head
+            s.at += 1
+        return self.source_of(s.nodes[begun:])
+
     # -- environments
 
     def environment(self, n: Node) -> str:
@@ -474,6 +656,12 @@ class Converter:
             return self.items(s, {"itemize": "-", "enumerate": "+", "description": "/"}[name])
         if name in ("tabular", "tabularx", "longtable", "array", "tabulary"):
             return "#" * (not self.in_figure) + self.table(name, s) + "\n" * (not self.in_figure)
+        if name in ("algorithmic", "algpseudocode"):
+            return "#" * (not self.in_figure) + self.pseudocode(s) + "\n" * (not self.in_figure)
+        if name == "abstract":
+            body = self.text(s.nodes).strip()
+            self.r.metadata["abstract"] = body
+            return "\n" + styles.abstract_block(styles.ABSTRACTS.get(self.r.metadata.get("class", "")), body) + "\n"
         if name in ("figure", "table", "wrapfigure", "algorithm", "subfigure"):
             return self.figure(n, name, s)
         if name in self.theorems:
@@ -494,10 +682,7 @@ class Converter:
             if name in ("minipage", "multicols"):
                 s.option()
                 s.argument()
-            body = self.text(s.nodes[s.at :])
-            if name == "abstract":
-                self.r.metadata["abstract"] = body.strip()
-            return body
+            return self.text(s.nodes[s.at :], grouped=name != "document")
         self.warn(n, "unsupported_environment", name=n.text)
         return self.text(n.children)
 
@@ -553,14 +738,26 @@ class Converter:
         inside, self.in_figure = self.in_figure, False
         rows = self.split(s.nodes[s.at :], self.text)
         self.in_figure = inside
-        width = max([1, *(len(row) + sum(int(n) - 1 for n in re.findall(r"table\.cell\(colspan: (\d+)\)", " ".join(row))) for row in rows)])
+        width = max([1, *(sum(int(m[1]) if (m := re.match(r"table\.cell\(colspan: (\d+)\)", c)) else 1 for c in row) for row in rows)])
         aligns = (aligns + ["left"] * width)[:width]
         lines = [f"  columns: {width},", f"  align: ({', '.join(aligns)},)," if width == 1 else f"  align: ({', '.join(aligns)}),", "  stroke: none,"]
+        carried = [0] * width  # rows for which a cell above still covers each column
         for i, row in enumerate(rows):
             if rules and i < 2:
                 lines.append("  table.hline(),")
-            spanned = sum(int(m[1]) - 1 for c in row if (m := re.match(r"table\.cell\(colspan: (\d+)\)", c)))
-            lines.append("  " + ", ".join(c if c.startswith("table.cell(") else f"[{c}]" for c in row + [""] * (width - len(row) - spanned)) + ",")
+            shown, at, after = [], 0, [max(0, c - 1) for c in carried]
+            for cell in row:
+                if at < width and carried[at] and not cell:  # the empty cell that the source gives for a covered place
+                    at += 1
+                    continue
+                spans = {kind: int(n) for kind, n in re.findall(r"(colspan|rowspan): (\d+)", cell[: cell.find("[")])} if cell.startswith("table.cell(") else {}
+                for k in range(at, min(width, at + spans.get("colspan", 1))):
+                    after[k] = max(after[k], spans.get("rowspan", 1) - 1)
+                shown.append(cell if cell.startswith("table.cell(") else f"[{cell}]")
+                at += spans.get("colspan", 1)
+            shown += ["[]" for k in range(at, width) if not carried[k]]
+            carried = after
+            lines.append("  " + ", ".join(shown) + ",")
         if rules and rows:
             lines.append("  table.hline(),")
         return "table(\n" + "\n".join(lines) + "\n)"
@@ -589,7 +786,7 @@ class Converter:
         finally:
             self.in_figure = False
         pieces = [p for p in pieces if p]
-        code = [p for p in pieces if p.startswith(("image(", "table("))]
+        code = [p for p in pieces if p.startswith(("image(", "table(", "block("))]
         content = code[0] if len(pieces) == 1 and code else "[" + " ".join("#" + p if p in code else p for p in pieces) + "]"
         lines = [f"  {content},"] + [f"  caption: [{caption}],"] * bool(caption)
         out = "#figure(\n" + "\n".join(lines) + "\n)" + (f" {labels[0]}" if labels else "")
@@ -667,7 +864,8 @@ class Converter:
         if n.kind == "sign":
             if n.text in "^_":
                 body = self.math(s.argument() or []).strip()
-                return n.text + (body if len(body) == 1 else f"({body})")
+                operator = s.at and any(x.kind == "command" and x.text in LIMITS for x in self.before(n, s))
+                return n.text + (body if len(body) == 1 and not operator else f"({body})")
             return " " if n.text == "~" else " & "
         if n.kind in ("open", "close"):
             return n.text
@@ -679,6 +877,14 @@ class Converter:
             return self.math_environment(n)
         return self.math_command(n, s)
 
+    @staticmethod
+    def before(n: Node, s: Stream) -> list[Node]:
+        """The operator that a script belongs to: the node before the scripts that end with n."""
+        at = next(i for i, x in enumerate(s.nodes) if x is n)
+        while at >= 2 and s.nodes[at - 2].kind == "sign" and s.nodes[at - 2].text in "^_":
+            at -= 2
+        return s.nodes[at - 1 : at]
+
     def letters(self, text: str) -> str:
         text = re.sub(r"(?<=[A-Za-z])(?=[A-Za-z])", " ", text)
         text = re.sub(r"(?<=\d)(?=[A-Za-z])|(?<=[A-Za-z])(?=\d)", " ", text)
@@ -688,6 +894,8 @@ class Converter:
         return self.math(s.argument() or []).strip(), self.math(s.argument() or []).strip()
 
     def math_command(self, n: Node, s: Stream) -> str:
+        if n.text in self.aliases and n.text not in self.macros:
+            n = replace(n, text=self.aliases[n.text])
         name = n.text
         if name in self.macros:
             return self.expand(n, s, self.math)
@@ -764,6 +972,14 @@ class Converter:
         return self.math(n.children)
 
 
+def byte_offsets(text: str) -> np.ndarray:
+    """The byte at which each character begins, and the number of bytes at last."""
+    if text.isascii():
+        return np.arange(len(text) + 1)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.concatenate([[0], np.cumsum(1 + (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF))])
+
+
 def finish(r: Result, body: str, whole: bool) -> str:
     """Line ends tidied; a whole document gets page, text and heading rules and its title block."""
     body = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", body)).strip("\n ")
@@ -772,16 +988,22 @@ def finish(r: Result, body: str, whole: bool) -> str:
     if not whole:
         return body + "\n" if body else ""
     rules = ['#set page(paper: "us-letter", margin: 1in, numbering: "1")', "#set text(size: 10pt)", "#set par(justify: true)", '#set heading(numbering: "1.")']
-    title = [f"#align(center)[#text(size: 17pt)[{r.metadata['title']}]]"] if r.metadata.get("title") else []
+    size = styles.TITLE_SIZES.get(r.metadata.get("class", ""), "17pt")
+    title = [f"#align(center)[#text(size: {size})[{r.metadata['title']}]]"] if r.metadata.get("title") else []
     author = [f"#align(center)[{r.metadata['author']}]"] if r.metadata.get("author") else []
+    author += [f"#align(center)[#text(size: 0.9em)[{r.metadata['affiliations']}]]"] if r.metadata.get("affiliations") else []
     return "\n".join([*rules, *title, *author, "", body]) + "\n"
 
 
 def convert(source: str, seeds: dict[str, tuple[int, str | None, str]] | None = None) -> Result:
-    """Convert one document. Never raises: what can't be converted is dropped with a warning."""
+    """Convert one document. Never raises: what can't be converted is dropped with a warning. Places are bytes."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), FRAMES))
     tree = parse(source)
     c = Converter(source, seeds)
     body = c.text(tree.nodes)
     c.r.has_error = tree.has_error
+    if not source.isascii():
+        for x in c.r.source_map:
+            x["src_start"], x["src_end"] = int(c.bytes[x["src_start"]]), int(c.bytes[x["src_end"]])
     c.r.typst = finish(c.r, body, c.whole)
     return c.r

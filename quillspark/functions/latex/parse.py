@@ -10,7 +10,9 @@ MATH = ("equation", "align", "gather", "multline", "eqnarray", "displaymath", "m
 NAME = re.compile(r"\\([A-Za-z@]+\*?|.|\n)", re.S)
 TEXT = re.compile(r"[^\\{}$%\[\]^_&~\n]+")
 BREAK = re.compile(r"[ \t]*\n(?:[ \t]*\n)+[ \t]*")
-MAX_DEPTH = 120
+#: Deeper nesting is an error and is read flat; it bounds the stack, not the document.
+MAX_DEPTH = 1000
+STRAY = re.compile(r"\}|\$\$|\$|\\end\s*\{[^{}]*\}|\\[\])]|.", re.S)
 
 
 @dataclass
@@ -40,8 +42,7 @@ class Parser:
             nodes += self.until(None, 0)
             if self.at < len(self.source):  # a closer that nothing opened
                 self.error = True
-                m = re.match(r"\}|\$\$|\$|\\end\s*\{[^{}]*\}|\\[\])]|.", self.source[self.at :], re.S)
-                self.at += m.end()
+                self.at = STRAY.match(self.source, self.at).end()
         return Tree(nodes, self.error)
 
     def closes(self, closer: str | None) -> bool:

@@ -64,7 +64,7 @@ def warnings(converted: DataFrame, *keys: str) -> DataFrame:
 def explain(docs: DataFrame, source: str = "content", *keys: str) -> DataFrame:
     """Which source span made which output; blank output and empty spans are left out."""
     spans = convert(docs, source, ("source_map",)).select(*keys, source, F.explode("source_map").alias("s"))
-    return spans.where("s.src_end > s.src_start and trim(s.output) <> ''").select(*keys, "s.src_start", "s.src_end", F.expr(f"substring({source}, s.src_start + 1, s.src_end - s.src_start)").alias("source"), "s.output").distinct()
+    return spans.where("s.src_end > s.src_start and trim(s.output) <> ''").select(*keys, "s.src_start", "s.src_end", F.expr(f"decode(substring(encode({source}, 'UTF-8'), s.src_start + 1, s.src_end - s.src_start), 'UTF-8')").alias("source"), "s.output").distinct()
 
 
 def buckets(docs: DataFrame, source: str = "content") -> DataFrame:

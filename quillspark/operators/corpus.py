@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.sources.shared import written
+
 # The warning kinds and the guide that explains each.
 GUIDES = {"unsupported_command": "unsupported-commands", "unsupported_environment": "environments", "custom_macro": "macros", "ambiguous_math": "math", "drop_only": "dropped-commands", "needs_manual_review": "manual-review", "parse_error": "parse-errors"}
 
-# Source constructs that are lost silently, by cluster.
+#: The column specification of a table.
+COLUMN_SPEC = r"\\begin\{(?:tabular[*x]?|array)\}\s*(?:\[[^\]]*\])?\s*(?:\{[^}]*\})?\{([^}]*)\}"
+
+# Source constructs that are lost silently: cluster, label, pattern, and whether it is counted in column specifications only.
 SILENT_GAPS = [
-    ("spacing", r"\\[vh]space", "vspace_hspace"), ("spacing", r"\\(?:small|med|big)skip", "skips"), ("spacing", r"\\(?:no)?indent", "indent"),
-    ("float", r"\\captionsetup", "captionsetup"), ("float", r"\\centering", "centering"), ("float", r"\\(?:sub)?caption\*?\{", "caption"),
-    ("layout", r"\\(?:clear|new)page", "page_breaks"), ("layout", r"\\(?:one|two)column", "columns"), ("layout", r"\\setlength", "setlength"),
+    ("float-sizing/tables", "resizebox", r"\\resizebox\b", False),
+    ("float-sizing/tables", "column widths", r"[pmb]\{", True),
+    ("float-sizing/tables", "column decorators", r"[><@!]\{", True),
+    ("float-sizing/tables", "cmidrule", r"\\cmidrule\b", False),
+    ("color/spacing", "textcolor", r"\\textcolor\b", False),
+    ("color/spacing", "colorbox", r"\\f?colorbox\b", False),
+    ("color/spacing", "definecolor", r"\\definecolor\b", False),
+    ("color/spacing", "vspace/hspace", r"\\[vh]space\*?\b", False),
+    ("color/spacing", "skips", r"\\(?:small|med|big)skip\b", False),
+    ("lists/theorems", "item label", r"\\item\s*\[", False),
+    ("lists/theorems", "enumerate style", r"\\begin\{enumerate\}\s*\[", False),
+    ("lists/theorems", "labelenum", r"\\renewcommand\s*\{\\labelenum", False),
+    ("lists/theorems", "theorem note", r"\\begin\{(?:theorem|lemma|corollary|proposition|definition|remark|example|claim|conjecture|proof)\}\s*\[", False),
 ]
 
 
@@ -35,7 +52,9 @@ def audit(warnings: DataFrame, top: int = 40) -> DataFrame:
 
 def silent_gaps(sources: DataFrame, text: str = "content") -> DataFrame:
     """How many sources hold each construct that is dropped without a word, and how often."""
-    found = F.explode(F.array(*[F.struct(F.lit(c).alias("cluster"), F.lit(label).alias("label"), F.regexp_count(F.col(text), F.lit(p)).alias("n")) for c, p, label in SILENT_GAPS]))
+    specs = F.array_join(F.regexp_extract_all(F.col(text), F.lit(COLUMN_SPEC), 1), " ")
+    counts = [(c, label, F.regexp_count(specs if inside else F.col(text), F.lit(p))) for c, label, p, inside in SILENT_GAPS]
+    found = F.explode(F.array(*[F.struct(F.lit(c).alias("cluster"), F.lit(label).alias("label"), n.alias("n")) for c, label, n in counts]))
     return sources.select(found.alias("x")).select("x.*").where("n > 0").groupBy("cluster", "label").agg(F.count("*").alias("papers"), F.sum("n").alias("occurrences"))
 
 
@@ -75,17 +94,22 @@ def entry_files(files: DataFrame) -> DataFrame:
     return found.select("project", F.when(F.size("candidates") == 1, F.element_at("candidates", 1)).alias("entry"), kind.alias("error"), F.array_join("candidates", ",").alias("candidates"))
 
 
-def include_closure(edges: DataFrame, roots: DataFrame, depth: int = 24) -> DataFrame:
-    """Files reached from each root over includes, with the least depth; cycles end because a file is taken once. edges: parent, child. roots: root."""
-    reached = roots.select("root", F.col("root").alias("file"), F.lit(0).alias("depth"))
-    front = reached
-    for level in range(1, depth + 1):
+def include_closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Files reached from each root over includes, with the least depth; cycles end because a file is taken once. edges: parent, child. roots: root.
+
+    Rounds go on until one reaches nothing new; each is written, so that long chains don't lengthen the lineage.
+    """
+    front = written(roots.select("root", F.col("root").alias("file"), F.lit(0).alias("depth")), "includes")
+    rounds, level = [front], 0
+    while not front.isEmpty():
+        level += 1
+        reached = reduce(DataFrame.unionByName, rounds)
         new = front.join(edges, F.col("file") == F.col("parent")).select("root", F.col("child").alias("file"), F.lit(level).alias("depth")).distinct()
-        front = new.join(reached.select("root", "file"), ["root", "file"], "left_anti")
-        if front.isEmpty():
-            break
-        reached = reached.unionByName(front)
-    return reached
+        front = written(new.join(reached.select("root", "file"), ["root", "file"], "left_anti"), "includes")
+        rounds.append(front)
+        if len(rounds) > 16:
+            rounds = [written(reduce(DataFrame.unionByName, rounds), "includes")]
+    return reduce(DataFrame.unionByName, rounds)
 
 
 def pages(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -127,7 +151,15 @@ def fences(files: DataFrame) -> DataFrame:
 
 
 def errors_to_spans(errors: DataFrame, spans: DataFrame) -> DataFrame:
-    """The span that produced each erroneous line: the shortest (then first) output that contains the line's token of three characters or more. errors: doc, error, token. spans: doc, pos, start, end, output."""
-    hit = errors.where(F.length("token") >= 3).join(spans, "doc").where(F.contains("output", F.col("token")))
-    best = hit.groupBy("doc", "error").agg(F.min_by(F.struct("start", "end"), F.struct(F.length("output"), F.col("pos"))).alias("at"))
+    """The span that produced each erroneous line. errors: doc, error, token and, where it is known, line. spans: doc, pos, start, end, output.
+
+    First an output that contains the line's token (three characters or more), else one that contains the whole line,
+    else one of three characters or more that the line contains, blanks squeezed; of several the shortest, then the first.
+    """
+    plain = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    line = plain(F.col("line")) if "line" in errors.columns else F.lit(None).cast("string")
+    output = plain(F.col("output"))
+    step = F.when((F.length("token") >= 3) & F.contains("output", F.col("token")), 1).when((line != "") & F.contains(output, line), 2).when((F.length(output) >= 3) & F.contains(line, output), 3)
+    hit = errors.join(spans, "doc").withColumn("step", step).where("step is not null")
+    best = hit.groupBy("doc", "error").agg(F.min_by(F.struct("start", "end"), F.struct("step", F.length("output"), F.col("pos"))).alias("at"))
     return errors.join(best, ["doc", "error"], "left").select("doc", "error", "at.start", "at.end")

@@ -32,11 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document and of the one after it, as truth and candidate."""
     words = table(spark, sf_dir, "documents").select("doc_id", T.word_tokens("text").alias("words"))
-    return words.join(words.select((F.col("doc_id") - 1).alias("doc_id"), F.col("words").alias("found")), "doc_id")
+    after = words.select((F.col("doc_id") - 1).alias("doc_id"), F.col("words").alias("found"))
+    return words.join(after, "doc_id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
 
 
 PAIRS = """WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]{3,}') AS words FROM documents),
-p AS (SELECT a.doc_id, a.words, b.words AS found FROM w a JOIN w b ON b.doc_id = a.doc_id + 1),
+p AS (SELECT a.doc_id, a.words, coalesce(b.words, []) AS found FROM w a LEFT JOIN w b ON b.doc_id = a.doc_id + 1),
 m AS (SELECT doc_id, len(words) AS n, len(found) AS k, len(list_distinct(words)) AS d, len(list_distinct(found)) AS e, len(list_intersect(list_distinct(words), list_distinct(found))) AS s FROM p)
 """
 
@@ -100,23 +101,25 @@ def fidelity_composite(spark, sf_dir):
     return scored.agg(F.count("*").alias("papers"), F.count("score").alias("complete"), F.round(F.avg("score"), 6).alias("composite"))
 
 
-@query(METRICS + """, b AS (SELECT doc_id AS id, score + (doc_id % 5) * 0.01::DOUBLE AS score, word_recall + (doc_id % 3) * 0.04::DOUBLE AS word_recall, heading_recall FROM y WHERE doc_id % 4 <> 0)
+@query(METRICS + """, b AS (SELECT doc_id AS id, score + (doc_id % 5) * 0.01::DOUBLE AS score, word_recall + (doc_id % 3) * 0.04::DOUBLE AS word_recall, heading_recall FROM y WHERE doc_id IN (SELECT doc_id FROM labels))
 SELECT y.doc_id AS id, round(b.score - y.score, 6) AS score_drop, coalesce(b.score - y.score > 0.02::DOUBLE OR b.word_recall - y.word_recall > 0.05::DOUBLE OR b.heading_recall - y.heading_recall > 0.05::DOUBLE, false) AS regressed FROM y JOIN b ON b.id = y.doc_id""")
 def fidelity_gate_diff(spark, sf_dir):
     run = metrics(spark, sf_dir).select(F.col("doc_id").alias("id"), G.composite().alias("score"), "word_recall", "heading_recall")
     mod = lambda n: F.pmod("id", F.lit(n))
-    baseline = run.where(mod(4) != 0).select("id", (F.col("score") + mod(5) * F.lit(0.01)).alias("score"), (F.col("word_recall") + mod(3) * F.lit(0.04)).alias("word_recall"), "heading_recall")
+    known = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")).distinct()
+    baseline = run.join(known, "id", "left_semi").select("id", (F.col("score") + mod(5) * F.lit(0.01)).alias("score"), (F.col("word_recall") + mod(3) * F.lit(0.04)).alias("word_recall"), "heading_recall")
     return G.fidelity_diff(run, baseline).select("id", F.round("score_drop", 6).alias("score_drop"), "regressed")
 
 
 @query("""WITH v AS (SELECT doc_id AS id, CASE WHEN max(toxic) = 1 THEN 'CONVERT_FAIL' ELSE 'PASS' END AS verdict FROM labels GROUP BY doc_id),
-k AS (SELECT doc_id AS id, CASE WHEN max(quality) = 1 THEN 'pass' ELSE 'fail' END AS known FROM labels WHERE doc_id % 3 <> 0 GROUP BY doc_id)
+k AS (SELECT doc_id AS id, CASE WHEN max(quality) = 1 THEN 'pass' ELSE 'fail' END AS known FROM labels WHERE doc_id IN (SELECT page_id FROM pages) GROUP BY doc_id)
 SELECT v.id, CASE WHEN known = 'pass' AND verdict = 'CONVERT_FAIL' THEN 'regression' WHEN known = 'fail' AND verdict = 'PASS' THEN 'fixed' ELSE 'new_failure' END AS "class"
 FROM v LEFT JOIN k ON k.id = v.id WHERE (known = 'pass' AND verdict = 'CONVERT_FAIL') OR (known = 'fail' AND verdict = 'PASS') OR (known IS NULL AND verdict = 'CONVERT_FAIL')""")
 def acceptance_gate(spark, sf_dir):
     labels = table(spark, sf_dir, "labels")
     verdicts = labels.groupBy(F.col("doc_id").alias("id")).agg(F.when(F.max("toxic") == 1, "CONVERT_FAIL").otherwise("PASS").alias("verdict"))
-    baseline = labels.where(F.pmod("doc_id", F.lit(3)) != 0).groupBy(F.col("doc_id").alias("id")).agg(F.when(F.max("quality") == 1, "pass").otherwise("fail").alias("known"))
+    pages = table(spark, sf_dir, "pages").select("page_id").distinct()
+    baseline = labels.join(pages, F.col("doc_id") == F.col("page_id"), "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.when(F.max("quality") == 1, "pass").otherwise("fail").alias("known"))
     return G.acceptance(verdicts, baseline)
 
 
@@ -171,10 +174,11 @@ def brief_histogram(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT doc_id, 1 + doc_id % 3 AS a, doc_id % 2 AS b FROM documents)
-SELECT cluster, label, count(*) AS papers, sum(n)::BIGINT AS occurrences FROM (SELECT 'spacing' AS cluster, 'vspace_hspace' AS label, a AS n FROM s UNION ALL SELECT 'float', 'centering', b FROM s UNION ALL SELECT 'float', 'caption', a FROM s) WHERE n > 0 GROUP BY ALL""")
+SELECT cluster, label, count(*) AS papers, sum(n)::BIGINT AS occurrences FROM (SELECT 'color/spacing' AS cluster, 'vspace/hspace' AS label, a AS n FROM s UNION ALL SELECT 'color/spacing', 'textcolor', a FROM s UNION ALL SELECT 'color/spacing', 'skips', b FROM s
+  UNION ALL SELECT 'float-sizing/tables', 'column widths', b FROM s UNION ALL SELECT 'float-sizing/tables', 'column decorators', b FROM s UNION ALL SELECT 'lists/theorems', 'item label', 1 FROM s UNION ALL SELECT 'lists/theorems', 'theorem note', b FROM s) WHERE n > 0 GROUP BY ALL""")
 def silent_gaps(spark, sf_dir):
-    n = F.pmod("doc_id", F.lit(3)).cast("int") + 1
-    content = F.concat(F.repeat(F.lit("\\vspace{1em}\\caption{x}"), n), F.repeat(F.lit("\\centering "), F.pmod("doc_id", F.lit(2)).cast("int")))
+    n, odd = F.pmod("doc_id", F.lit(3)).cast("int") + 1, F.pmod("doc_id", F.lit(2)).cast("int")
+    content = F.concat(F.coalesce("text", F.lit("")), F.repeat(F.lit("\\vspace{1em}\\textcolor{red}{x} p{2cm}"), n), F.repeat(F.lit("\\bigskip \\begin{tabular}{lp{2cm}}\\end{tabular}\\begin{array}{@{}l}\\end{array}\\begin{lemma}[N]"), odd), F.lit("\\item[a] b"))
     return C.silent_gaps(table(spark, sf_dir, "documents").select(content.alias("content")))
 
 
@@ -282,25 +286,25 @@ def include_closure(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT l_orderkey AS doc, l_linenumber AS pos, (l_partkey % 900)::BIGINT AS a, (l_partkey % 900 + l_quantity)::BIGINT AS b, l_suppkey AS k FROM lineitem)
-SELECT s.doc, s.a AS "start", s.b AS "end", min(w.pos) AS pos, arg_min('g' || w.k, struct_pack(a := w.pos, b := 'g' || w.k)) AS guide FROM (SELECT DISTINCT doc, a, b FROM s) s JOIN s w ON w.doc = s.doc AND w.k % 2 = 0 AND w.a + 5 < s.b AND w.b + 5 > s.a GROUP BY ALL""")
+SELECT s.doc, s.a AS "start", s.b AS "end", min(w.pos) AS pos, arg_min('g' || w.k, struct_pack(a := w.pos, b := 'g' || w.k)) AS guide FROM (SELECT DISTINCT doc, a, b FROM s) s JOIN s w ON w.doc = s.doc AND w.a + 5 < s.b AND w.b + 5 > s.a GROUP BY ALL""")
 def span_warning_overlap(spark, sf_dir):
     start, stop = F.col("l_partkey") % 900, (F.col("l_partkey") % 900 + F.col("l_quantity")).cast("long")
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("pos"), start.alias("start"), stop.alias("end"), "l_suppkey")
-    w = lines.where("l_suppkey % 2 = 0").select("doc", "pos", (F.col("start") + 5).alias("w_start"), (F.col("end") + 5).alias("w_end"), F.concat(F.lit("g"), "l_suppkey").alias("guide"))
+    w = lines.select("doc", "pos", (F.col("start") + 5).alias("w_start"), (F.col("end") + 5).alias("w_end"), F.concat(F.lit("g"), "l_suppkey").alias("guide"))
     return C.overlapping(lines.select("doc", "start", "end").distinct(), w)
 
 
 @query(r"""WITH l AS (SELECT doc_id AS doc, unnest(['a \vspace b \vspace', '// \skip', '```', '\inside', '```', '\\double \textbf{x}']) AS content, unnest([1, 2, 3, 4, 5, 6]) AS line FROM documents)
 SELECT doc, line::INT AS line, CASE line WHEN 1 THEN 'vspace' ELSE 'textbf' END AS name FROM l WHERE line IN (1, 6)""")
 def leak_scan(spark, sf_dir):
-    text = F.array(*map(F.lit, ["a \\vspace b \\vspace", "// \\skip", "```", "\\inside", "```", "\\\\double \\textbf{x}"]))
+    text = F.concat(F.array(*map(F.lit, ["a \\vspace b \\vspace", "// \\skip", "```", "\\inside", "```", "\\\\double \\textbf{x}"])), F.split(F.coalesce("text", F.lit("")), "\n"))
     lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(text).alias("line", "content")).withColumn("line", F.col("line") + 1)
     return C.leaks(lines)
 
 
 @query("SELECT doc_id AS doc, 'c0000.tex' AS path, 'x' || doc_id || chr(10) AS body FROM documents UNION ALL SELECT doc_id, 'c0001.tex', 'y' || chr(10) FROM documents WHERE doc_id % 2 = 0")
 def fence_harvest(spark, sf_dir):
-    md = F.concat(F.lit("# t\n```latex\nx"), "doc_id", F.lit("\n```\n```python\nz\n```\n```tex\n\n```\n"), F.when(F.col("doc_id") % 2 == 0, "```LaTeX-demo\ny\n```\n").otherwise(""))
+    md = F.concat(F.lit("# t\n"), F.coalesce("text", F.lit("")), F.lit("\n```latex\nx"), "doc_id", F.lit("\n```\n```python\nz\n```\n```tex\n\n```\n"), F.when(F.col("doc_id") % 2 == 0, "```LaTeX-demo\ny\n```\n").otherwise(""))
     return C.fences(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), md.alias("content")))
 
 
