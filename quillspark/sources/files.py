@@ -52,3 +52,40 @@ def append_log(rows: DataFrame, path: str) -> None:
 def upsert(current: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """Rows of new replace those of the same key."""
     return current.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def inline(spark: SparkSession, source: str) -> DataFrame:
+    """One source given as text: a table of one row."""
+    return spark.createDataFrame([("-", source)], "path string, content string")
+
+
+def read_folder(spark: SparkSession, root: str, extension: str = "tex") -> DataFrame:
+    """path and content of the files that lie in root itself, sorted by path; what isn't UTF-8 is an error."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{extension}").load(root)
+    return raw.select("path", F.validate_utf8(F.col("content").cast("string")).alias("content")).orderBy("path")
+
+
+# The JSON files that runs leave behind.
+DOCUMENTS = {
+    "warnings": "array<struct<category:struct<kind:string,name:string,reason:string>,severity:string,message:string,snippet:string>>",
+    "baseline": "struct<score:double,papers:array<struct<id:string,status:string,word_recall:double,heading_recall:double,page_ratio:double,mean_ssim:double>>>",
+    "findings": "array<struct<paper:string,dimension:string,verdict:string,severity:int>>",
+}
+
+
+def read_documents(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """path and value of JSON files of a kind, one document each; those that don't parse have a null value."""
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    return text.select("path", F.from_json("value", DOCUMENTS[kind]).alias("value"))
+
+
+def write_sidecars(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Diagnostics or doctor results, a JSON object for each document."""
+    rows.write.mode(mode).json(path)
+
+
+def write_report(buckets: DataFrame, by_category: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """One JSON object with the buckets' counts and the warnings by kind, keys sorted. buckets: one row. by_category: kind, n."""
+    kinds = by_category.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("by_category"))
+    whole = buckets.withColumn("one", F.lit(1)).join(kinds.withColumn("one", F.lit(1)), "one").drop("one")
+    whole.select(*sorted(whole.columns)).coalesce(1).write.mode(mode).json(path)
