@@ -2,8 +2,8 @@
 
 The shingles of every text are put in one order for all texts, the rare ones first. Two sets of a similarity s or more
 share a shingle among the first n - ceil(s n) + 1 of each (n: the set's size), so sets meet under these shingles only.
-At the first shingle that two sets share, their sizes and its places bound what else they can share; pairs within the
-bound are verified on whole sets. Which shingles are common is read off about ORDER_SAMPLE texts; any order gives the
+At the first shingle that two sets share, their sizes and its places bound what else they can share, and a bitmap of each
+set bounds in how many shingles they differ at least; pairs within the bounds are verified on whole sets. Which shingles are common is read off about ORDER_SAMPLE texts; any order gives the
 same pairs, so the sample sets the cost, never the result.
 
 Cases: texts without words have the empty set, and equal sets are one node. Null texts count as empty.
@@ -26,6 +26,8 @@ ORDER_SAMPLE, COMMON = 8192, 1 << 18
 SQUARE = 1 << 20
 #: Bits of the map of wanted sets.
 SLOTS = 1 << 24
+#: Words of 64 bits of a set's bitmap.
+PARITY = 16
 
 
 def least_shared(similarity: float, sizes: np.ndarray) -> np.ndarray:
@@ -50,6 +52,33 @@ def nodes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return W.mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64)).view(np.int64)
 
 
+def parities(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Bitmaps of the sets: each bit tells whether an odd number of shingles falls on it. Two bitmaps differ in at most as many bits as the sets differ in shingles."""
+    out = np.zeros((len(first) - 1, PARITY), dtype=np.uint64)
+    at = W.mix(h ^ np.uint64(0x5851F42D4C957F2D))
+    np.bitwise_xor.at(out, (np.repeat(np.arange(len(first) - 1), np.diff(first)), (at >> np.uint64(6) & np.uint64(PARITY - 1)).astype(np.intp)), np.uint64(1) << (at & np.uint64(63)))
+    return out
+
+
+def close(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b whose bitmaps allow the similarity. known: node, size and parity of the sets."""
+
+    @tidy
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, PARITY) for c in (4, 5))
+            differ = np.bitwise_count(x ^ y).sum(axis=1)
+            hit = differ <= size - 2 * least_shared(similarity, size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(hit))
+
+    one = known.select("node", "size", "parity")
+    both = pairs.join(one.toDF("a", "n", "x"), "a").join(one.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+    return both.mapInArrow(check, "a long, b long")
+
+
 def common(docs: DataFrame, shingle: int, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Shingles (hashes, ascending) that several texts of a sample have, and how many have each."""
 

@@ -326,7 +326,7 @@ def bits_at(similarity: float, bits: int) -> int:
 
 
 def described(docs: DataFrame, shingle: int, similarity: float, words: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, the node of its set of shingles, the set's size and prefix (see jaccard), and w0, w1, ... as fingerprints() gives them."""
+    """Per row: id, the node of its set of shingles, the set's size, prefix and bitmap (see jaccard), and w0, w1, ... as fingerprints() gives them."""
     known = J.common(docs, shingle, text_col)
     names = [f"w{k}" for k in range(words)]
 
@@ -338,11 +338,12 @@ def described(docs: DataFrame, shingle: int, similarity: float, words: int, id_c
                 h, first = J.sets(W.split(part), shingle)
                 key, begin = J.prefixes(h, first, known, similarity)
                 prefix = pa.array([key[x:y].tobytes() for x, y in zip(begin[:-1], begin[1:], strict=True)], pa.binary())
+                bitmap = pa.array([x.tobytes() for x in J.parities(h, first)], pa.binary())
                 fp = [W.majority(W.mix(h ^ np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))) if k else h, first) for k in range(words)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(J.nodes(h, first)), pa.array(np.diff(first).astype(np.int32)), prefix, *(pa.array(f.view(np.int64)) for f in fp)], names=["id", "node", "size", "prefix", *names])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(J.nodes(h, first)), pa.array(np.diff(first).astype(np.int32)), prefix, bitmap, *(pa.array(f.view(np.int64)) for f in fp)], names=["id", "node", "size", "prefix", "parity", *names])
                 at += len(part)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, node long, size int, prefix binary, " + ", ".join(f"{n} long" for n in names))
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, node long, size int, prefix binary, parity binary, " + ", ".join(f"{n} long" for n in names))
 
 
 def thin(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -355,12 +356,13 @@ def thin(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int
     """
     rows = materialize(described(docs, shingle, similarity, words, id_col, text_col), "described")
     names = [f"w{k}" for k in range(words)]
-    known = rows.groupBy("node").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in ("size", "prefix", *names)))
+    known = rows.groupBy("node").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in ("size", "prefix", "parity", *names)))
     known = materialize(known, "known")
     total = bits_at(similarity, 64 * words)
     near = J.verified(links(known.select("node", *names), total // words, total, words), docs, shingle, similarity, text_col)
     rooted = known.join(components(near).withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node"))
-    every = near.union(J.verified(J.candidates(rooted, similarity), docs, shingle, similarity, text_col))
+    maybe = J.close(J.candidates(rooted, similarity), known, similarity)
+    every = near.union(J.verified(maybe, docs, shingle, similarity, text_col))
     found = rows.select("id", "node").join(component_ids(known, components(every)), "node")
     # ids that go, and ids of several rows, which alone are looked through for equal rows
     marks = found.groupBy("id").agg(F.max(F.col("id") != F.col("component_id")).alias("__gone"), (F.count("*") > 1).alias("__several")).where("__gone or __several").withColumnRenamed("id", "__of")

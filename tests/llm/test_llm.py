@@ -583,3 +583,15 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SMALL).schema == docs.schema
+
+
+def test_bitmaps_bound_the_difference():
+    from quillspark.llm import jaccard
+
+    r = np.random.default_rng(3)
+    a = [np.unique(r.integers(0, 3000, int(n)).astype(np.uint64)) for n in r.integers(0, 2500, 30)]
+    first = np.concatenate([[0], np.cumsum([len(x) for x in a])])
+    maps = jaccard.parities(np.concatenate(a), first)
+    for i in range(30):
+        for j in range(i):
+            assert np.bitwise_count(maps[i] ^ maps[j]).sum() <= len(np.setxor1d(a[i], a[j]))
