@@ -24,8 +24,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from quillspark.llm.common import tidy
+
 #: How many encoded words a worker keeps at most. This bounds memory only; a word that was let go is encoded again.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 120_000
 
 
 def byte_symbols() -> list[str]:
@@ -42,7 +44,7 @@ END = 256
 class Spelling:
     """Transitions over bytes and END that follow the longest beginning of a token which ends at each place.
 
-    table: the next state by state and symbol. token: the longest token that ends in a state (-1: none), size: its symbols,
+    table: the next state by row and symbol. row: of each state; a state that nothing goes on from shares the row of the one it fails to. token: the longest token that ends in a state (-1: none), size: its symbols,
     shorter: the state of the next shorter one (0: none).
     """
 
@@ -60,17 +62,22 @@ class Spelling:
                 at = child[at][symbol]
             own[at] = ids
         n = len(child)
-        table = np.zeros((n, END + 1), dtype=np.int32)
+        table = np.zeros((sum(map(bool, child)), END + 1), dtype=np.int32)
+        self.row, rows = [0] * n, 0
         fail, self.token, self.size, self.shorter = [0] * n, [-1] * n, [0] * n, [0] * n
         queue = [0]
         for at in queue:  # breadth first, so what a state fails to is complete
-            if at:
-                table[at] = table[fail[at]]
+            if child[at]:
+                self.row[at], rows = rows, rows + 1
+                if at:
+                    table[self.row[at]] = table[self.row[fail[at]]]
+            else:
+                self.row[at] = self.row[fail[at]]
             back = fail[at]  # the longest token that ends here: the state's own string, or that of the state it fails to
             self.token[at], self.size[at], self.shorter[at] = (own[at], depth[at], back) if own[at] >= 0 else (self.token[back], self.size[back], self.shorter[back])
             for symbol, to in child[at].items():
-                fail[to] = int(table[at, symbol]) if at else 0
-                table[at, symbol] = to
+                fail[to] = int(table[self.row[at], symbol]) if at else 0
+                table[self.row[at], symbol] = to
                 queue.append(to)
         self.table = memoryview(table.reshape(-1))
 
@@ -87,11 +94,11 @@ class Automaton:
     def encode_word(self, word: bytes) -> list[int]:
         """The ids of one pre-split word."""
         s, after = self.spelling, self.after
-        table, tokens, sizes, shorter = s.table, s.token, s.size, s.shorter
+        table, row, tokens, sizes, shorter = s.table, s.row, s.token, s.size, s.shorter
         ends: list[tuple[int, int]] = [(0, -1)]  # for each prefix: where its last token starts, and that token
         state = 0
         for i, symbol in enumerate((*word, END), 1):
-            state = table[state * (END + 1) + symbol]
+            state = table[row[state] * (END + 1) + symbol]
             of, found = state, (0, -1)
             while (token := tokens[of]) >= 0:
                 at = i - sizes[of]
@@ -254,6 +261,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     """
     schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(vocabulary)
         for batch in batches:
