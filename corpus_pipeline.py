@@ -40,11 +40,12 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxic), ("simhash", near_copies), ("suffixes", repeats), ("decontamination", leaks), ("bpe", encode)]
 
-ORACLE_SQL = None  # a trained classifier, SimHash and a tokenizer are beyond SQL; tests/llm compares stages with brute force
+ORACLE_SQL = None  # beyond SQL. tests/llm compares near-duplicates, suffixes and decontamination with brute force, BPE with the library; toxicity by held-out accuracy
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    # nulls, ties, empty tables and clashing columns: as each stage's operator says
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
