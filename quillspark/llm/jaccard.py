@@ -3,8 +3,10 @@
 The shingles of every text are put in one order for all texts, the rare ones first. Two sets of a similarity s or more
 share a shingle among the first n - ceil(s n) + 1 of each (n: the set's size), so sets meet under these shingles only.
 At the first shingle that two sets share, their sizes and its places bound what else they can share, and a bitmap of each
-set bounds in how many shingles they differ at least; pairs within the bounds are verified on whole sets. Which shingles are common is read off about ORDER_SAMPLE texts; any order gives the
-same pairs, so the sample sets the cost, never the result.
+set bounds in how many shingles they differ at least; pairs within the bounds are verified on whole sets. Which shingles
+are common is read off about ORDER_SAMPLE texts; any order gives the same pairs, so the sample sets the cost, never the
+result. A large group under one shingle goes through its task as a stream and is compared block by block in other tasks;
+two blocks of one root, or of sizes too far apart, don't meet.
 
 Cases: texts without words have the empty set, and equal sets are one node. Null texts count as empty.
 """
@@ -28,6 +30,8 @@ SQUARE = 1 << 20
 SLOTS = 1 << 24
 #: Words of 64 bits of a set's bitmap.
 PARITY = 16
+#: A group of more sets than this under one shingle is split into blocks, and the blocks' pairs are dealt out.
+BLOCK = 2048
 
 
 def least_shared(similarity: float, sizes: np.ndarray) -> np.ndarray:
@@ -60,6 +64,16 @@ def parities(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def bitmaps(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A row of words for each bitmap."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, PARITY)
+
+
+def within(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these bitmaps, and of these sizes together, can be so similar."""
+    return np.bitwise_count(x ^ y).sum(axis=1) <= sizes - 2 * least_shared(similarity, sizes)
+
+
 def close(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
     """The pairs a, b whose bitmaps allow the similarity. known: node, size and parity of the sets."""
 
@@ -69,9 +83,8 @@ def close(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
             if not batch.num_rows:
                 continue
             size = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, PARITY) for c in (4, 5))
-            differ = np.bitwise_count(x ^ y).sum(axis=1)
-            hit = differ <= size - 2 * least_shared(similarity, size)
+            x, y = (bitmaps(batch.column(c)) for c in (4, 5))
+            hit = within(x, y, size, similarity)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(hit))
 
     one = known.select("node", "size", "parity")
@@ -175,8 +188,26 @@ def meet(key: np.ndarray, size: np.ndarray, at: np.ndarray, root: np.ndarray, si
     return np.concatenate(a), np.concatenate(b)
 
 
-def candidates(known: DataFrame, similarity: float) -> DataFrame:
-    """known: node, root, size and prefix (keys as bytes) of distinct sets. Returns pairs a, b of nodes of different roots that can have the similarity; none that has it is missing."""
+def block_pair(key: tuple, group: pa.Table, similarity: float) -> pa.Table:
+    """Possible pairs a, b between the rows of block x and those of block y of one group (within the block where x is y), by their bitmaps too. key: the group's key, x, y."""
+    node, root, place, block = (group.column(c).to_numpy() for c in ("node", "root", "place", "block"))
+    bits, size, at = bitmaps(group.column("parity")), place >> 32, place & 0xFFFFFFFF
+    one, other = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = max(1, SQUARE // 8 // max(1, len(other)))
+    for part in (one[i : i + step] for i in range(0, len(one), step)):
+        x, y = np.repeat(part, len(other)), np.tile(other, len(part))
+        hit = np.flatnonzero(possible(size, at, root, x, y, similarity))
+        x, y = x[hit], y[hit]
+        hit = within(bits[x], bits[y], size[x] + size[y], similarity)
+        a.append(node[x[hit]])
+        b.append(node[y[hit]])
+    a, b = np.concatenate(a), np.concatenate(b)
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def candidates(known: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """known: node, root, size, parity and prefix (keys as bytes) of distinct sets. Returns pairs a, b of nodes of different roots that can have the similarity; none that has it is missing."""
 
     @tidy
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,28 +220,65 @@ def candidates(known: DataFrame, similarity: float) -> DataFrame:
                 size = part.column(2).to_numpy()[who].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), *(part.column(i).take(pa.array(who)) for i in (0, 1)), pa.array(size << 32 | place)], names=["key", "node", "root", "place"])
 
+    names = ["a", "b", "key", "node", "root", "place", "block"]
+
     @tidy
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # rows of keys whose group may go on
-        last = None
+        """Rows come sorted by key. A group beyond one block goes on as rows, with its key and a block number."""
+        held = np.zeros((4, 0), np.int64)  # rows of the last key, whose group may go on
+        number = 0  # blocks of that group passed on so far
 
-        def settled(rows: list[np.ndarray]) -> pa.RecordBatch:
-            key, node, root, place = np.concatenate(rows, axis=1)
+        def settled(rows: np.ndarray) -> pa.RecordBatch:
+            key, node, root, place = rows
             a, b = meet(key, place >> 32, place & 0xFFFFFFFF, root, similarity)
             pairs = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            none = pa.nulls(pairs.shape[1], pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), *[none] * 5], names=names)
+
+        def passed(rows: np.ndarray, number: int) -> pa.RecordBatch:
+            none = pa.nulls(rows.shape[1], pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, *map(pa.array, rows), pa.array(np.full(rows.shape[1], number))], names=names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.stack([batch.column(i).to_numpy() for i in range(4)])
-            if rows[0, -1] != last:
-                cut = int(np.argmax(rows[0] == rows[0, -1]))
-                yield settled([*held, rows[:, :cut]])
-                held, last, rows = [], int(rows[0, -1]), rows[:, cut:]
-            held.append(rows)
-        if held:
-            yield settled(held)
+            rows = np.concatenate([held, np.stack([batch.column(i).to_numpy() for i in range(4)])], axis=1)
+            edge = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1], [True]]))
+            large = np.diff(edge) > block
+            large[-1] = True
+            large[0] |= number > 0
+            small = np.repeat(~large, np.diff(edge))
+            for i in np.flatnonzero(large).tolist():
+                start, end = int(edge[i]), int(edge[i + 1])
+                if i:
+                    number = 0
+                while end - start > block:
+                    yield passed(rows[:, start : start + block], number)
+                    start, number = start + block, number + 1
+                if end == rows.shape[1]:
+                    held = rows[:, start:end]
+                elif number:
+                    yield passed(rows[:, start:end], number)
+                else:
+                    small[start:end] = True
+            if small.any():
+                yield settled(rows[:, small])
+        if held.shape[1]:
+            yield passed(held, number) if number else settled(held)
 
     filed = known.select("node", "root", "size", "prefix").mapInArrow(file, "key long, node long, root long, place long")
-    return filed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long").distinct()
+    met = materialize(filed.repartition("key").sortWithinPartitions("key", "root", "place").mapInArrow(compare, ", ".join(f"{n} long" for n in names)), "met")
+    found = met.where("key is null").select("a", "b")
+    large = met.where("key is not null")
+    if not large.limit(1).count():
+        return found.distinct()
+    size = F.shiftright("place", 32)
+    stats = large.groupBy("key", "block").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min(size).alias("short"), F.max(size).alias("long"))
+    one, other = (stats.select("key", *(F.col(c).alias(f"{c}_{n}") for c in stats.columns[1:])) for n in ("x", "y"))
+    apart = "not (least_x = most_x and least_y = most_y and least_x = least_y)"
+    overlap = f"long_x >= {similarity} * short_y - 1e-9 and long_y >= {similarity} * short_x - 1e-9"
+    pairs = one.join(other, "key").where("block_x <= block_y").where(apart).where(overlap).select("key", F.col("block_x").alias("x"), F.col("block_y").alias("y"))
+    ends = pairs.select("key", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    dealt = large.drop("a", "b").join(ends, ["key", "block"]).join(known.select("node", "parity"), "node")
+    more = dealt.select("key", "x", "y", "block", "node", "root", "place", "parity").groupBy("key", "x", "y").applyInArrow(lambda key, group: block_pair(key, group, similarity), "a long, b long")
+    return found.union(more).distinct()

@@ -595,3 +595,24 @@ def test_bitmaps_bound_the_difference():
     for i in range(30):
         for j in range(i):
             assert np.bitwise_count(maps[i] ^ maps[j]).sum() <= len(np.setxor1d(a[i], a[j]))
+
+
+@pytest.mark.parametrize("block", [9, 40, 4096])
+def test_large_groups_meet_block_by_block(spark, block):
+    """Sets under one shared key, of one large root and many small ones, compared in blocks, give what all pairs give."""
+    from quillspark.llm import jaccard
+
+    rng = np.random.default_rng(3)
+    base = [rng.integers(1, 1 << 62, 40, dtype=np.uint64) for _ in range(12)]
+    held = [np.unique(np.concatenate([base[i % 12][: 40 - i % 5], np.uint64([7]), rng.integers(1, 1 << 62, i % 7, dtype=np.uint64)])) for i in range(300)]
+    first = np.cumsum([0] + [len(x) for x in held])
+    flat = np.concatenate(held)
+    known = (np.uint64([7]), np.uint64([1]))
+    key, begin = jaccard.prefixes(flat, first, known, 0.5)
+    key = [np.concatenate([key[x:y], np.uint64([1])]).astype(np.uint64) for x, y in zip(begin[:-1], begin[1:], strict=True)]
+    root = [0 if i % 12 < 4 else i + 1 for i in range(300)]
+    rows = [(i, root[i], len(held[i]), bytearray(key[i].tobytes()), bytearray(m.tobytes())) for i, m in enumerate(jaccard.parities(flat, first))]
+    table = spark.createDataFrame(rows, "node long, root long, size int, prefix binary, parity binary")
+    got = {(r.a, r.b) for r in jaccard.candidates(table, 0.5, block).collect()}
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if root[i] != root[j] and 2 * len(np.intersect1d(held[i], held[j])) >= len(np.union1d(held[i], held[j]))}
+    assert want and want <= got and all(root[a] != root[b] for a, b in got)
