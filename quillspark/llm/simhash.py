@@ -346,11 +346,18 @@ def described(docs: DataFrame, shingle: int, similarity: float, words: int, id_c
     return docs.select(id_col, text_col).mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, node long, size int, prefix binary, parity binary, " + ", ".join(f"{n} long" for n in names))
 
 
+def fewer(pairs: DataFrame) -> DataFrame:
+    """Of links a, b each node's to its least and its greatest neighbour: two a node at most, whatever the group's size. It can part what all links connect, so an exact way must find the rest."""
+    ends = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
+    chosen = ends.groupBy("a").agg(F.min("b").alias("x"), F.max("b").alias("y"))
+    return chosen.select("a", F.explode(F.array("x", "y")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def thin(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Whole rows of docs, one document of each group of near-duplicates, that of the smallest id. Near-duplicates are texts whose sets of shingles have this Jaccard similarity, exactly, and what such pairs connect.
 
-    SimHash (`words` fingerprints of 64 bits, of sets) finds most links cheaply, and large groups by a forest of links; a
-    prefix join finds all that it misses. Every link is verified on whole sets before components are formed.
+    SimHash (`words` fingerprints of 64 bits, of sets) finds most links cheaply, of which two a set at most are used; a
+    prefix join finds all that they leave out. Every link is verified on whole sets before components are formed.
 
     Rows of one id stand or fall together; of equal rows one stays. Rows with a null id stay.
     """
@@ -359,7 +366,7 @@ def thin(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int
     known = rows.groupBy("node").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in ("size", "prefix", "parity", *names)))
     known = materialize(known, "known")
     total = bits_at(similarity, 64 * words)
-    near = J.verified(links(known.select("node", *names), total // words, total, words), docs, shingle, similarity, text_col)
+    near = J.verified(fewer(J.close(links(known.select("node", *names), total // words, total, words), known, similarity)), docs, shingle, similarity, text_col)
     rooted = known.join(components(near).withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node"))
     maybe = J.close(J.candidates(rooted, similarity), known, similarity)
     every = near.union(J.verified(maybe, docs, shingle, similarity, text_col))
