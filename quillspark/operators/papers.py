@@ -49,9 +49,10 @@ def mean_similarity(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.select("doc").distinct().join(mean, "doc", "left").select("doc", F.coalesce("mean", F.lit(0.0)).alias("mean_ssim"))
 
 
-def merge_metadata(parts: DataFrame, fields: list[str], order: str = "pos") -> DataFrame:
-    """First value of each field by project in order of files. parts: project, order, fields."""
-    return parts.groupBy("project").agg(*[F.min_by(f, F.when(F.col(f).isNotNull(), F.col(order))).alias(f) for f in fields])
+def merge_metadata(parts: DataFrame, fields: list[str], order: str = "pos", ties: tuple[str, ...] = ()) -> DataFrame:
+    """First value of each field by project in order of files; of equal places that which comes first by the columns ties. parts: project, order, ties, fields. Rows without a place take no part."""
+    place = F.struct(order, *ties)
+    return parts.groupBy("project").agg(*[F.min_by(f, F.when(F.col(f).isNotNull() & F.col(order).isNotNull(), place)).alias(f) for f in fields])
 
 
 def compiler_errors(runs: DataFrame, text: str = "stderr") -> DataFrame:

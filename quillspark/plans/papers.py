@@ -46,8 +46,10 @@ def mean_similarity(spark, sf_dir):
 
 @query("""SELECT l_orderkey AS project, arg_min(l_returnflag || l_partkey, l_linenumber * 100000 + l_partkey) FILTER (WHERE l_returnflag = 'R') AS title, arg_min(l_linestatus || l_partkey, l_linenumber * 100000 + l_partkey) FILTER (WHERE l_linestatus = 'O') AS author FROM lineitem GROUP BY l_orderkey""")
 def metadata_merge(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("project"), (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("pos"), F.when(F.col("l_returnflag") == "R", F.concat("l_returnflag", "l_partkey")).alias("title"), F.when(F.col("l_linestatus") == "O", F.concat("l_linestatus", "l_partkey")).alias("author"))
-    return P.merge_metadata(lines, ["title", "author"])
+    """Two lines of an order can have the same place; then the one that the table has first counts."""
+    row = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("project"), (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("pos"), *row, F.when(F.col("l_returnflag") == "R", F.concat("l_returnflag", "l_partkey")).alias("title"), F.when(F.col("l_linestatus") == "O", F.concat("l_linestatus", "l_partkey")).alias("author"))
+    return P.merge_metadata(lines, ["title", "author"], ties=("file", "row"))
 
 
 @query("SELECT doc_id AS doc, 0 AS pos, 'unknown variable: x' || doc_id AS message, (doc_id % 90 + 1)::INT AS line, 4 AS col FROM documents UNION ALL SELECT doc_id, 1, 'expected comma', 7, 0 FROM documents WHERE doc_id % 2 = 0")

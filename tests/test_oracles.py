@@ -36,3 +36,16 @@ def test_query(spark, name):
     want = sorted((tuple(plain(r[i]) for i in at) for r in rel.fetchall()), key=str)
     assert sorted(rel.columns) == cols
     assert got == want
+
+
+def test_metadata_merge_of_equal_places(spark, tmp_path):
+    """Lines 1 and 2 of an order stand at the same place where their parts are 100,000 apart: the one that comes first in the table counts, as in the SQL on one thread."""
+    lines = [(o, o + (200_000 if flip == k else 100_000), 1 + (flip != k)) for o, flip in ((o, o % 2) for o in range(40)) for k in (0, 1)]
+    con = duckdb.connect()
+    con.sql("set threads=1")
+    rows = ", ".join(f"({o}, {p}, {n}::INT, 'R', 'O')" for o, p, n in lines)
+    con.sql(f"copy (select * from (values {rows}) t(l_orderkey, l_partkey, l_linenumber, l_returnflag, l_linestatus)) to '{tmp_path}/lineitem.parquet' (format parquet)")
+    con.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    want = sorted(con.sql(registry.oracle_sql()["metadata_merge"]).fetchall())
+    got = sorted(map(tuple, registry.queries()["metadata_merge"](spark, str(tmp_path)).select("project", "title", "author").collect()))
+    assert got == want == [(o, f"R{o + (200_000 if o % 2 == 0 else 100_000)}", f"O{o + (200_000 if o % 2 == 0 else 100_000)}") for o in range(40)]
