@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import jaccard as J
 from quillspark.llm import words as W
-from quillspark.llm.common import materialize, tidy
+from quillspark.llm.common import drop_materialized, materialize, tidy
 from quillspark.llm.components import components
 
 PLAN_SAMPLE = 4096
@@ -365,6 +365,8 @@ def thin(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int
     names = [f"w{k}" for k in range(words)]
     known = rows.groupBy("node").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in ("size", "prefix", "parity", *names)))
     known = materialize(known, "known")
+    whole, rows = rows, materialize(rows.select("id", "node"), "nodes")
+    drop_materialized(whole)
     total = bits_at(similarity, 64 * words)
     near = J.verified(fewer(J.close(links(known.select("node", *names), total // words, total, words), known, similarity)), docs, shingle, similarity, text_col)
     rooted = known.join(components(near).withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node"))

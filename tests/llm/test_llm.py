@@ -616,3 +616,28 @@ def test_large_groups_meet_block_by_block(spark, block):
     got = {(r.a, r.b) for r in jaccard.candidates(table, 0.5, block).collect()}
     want = {(i, j) for i in range(300) for j in range(i + 1, 300) if root[i] != root[j] and 2 * len(np.intersect1d(held[i], held[j])) >= len(np.union1d(held[i], held[j]))}
     assert want and want <= got and all(root[a] != root[b] for a, b in got)
+
+
+def test_dense_groups_leave_as_sets(spark, monkeypatch):
+    """A cluster of near copies that no links join: no more rows leave the comparison under a shingle than sets are filed there, and pairs are verified in few cells."""
+    from quillspark.llm import jaccard
+
+    r = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(90):
+        own = list(base)
+        for at in r.choice(120, int(r.integers(0, 5)), replace=False).tolist():
+            own[at] = f"e{i}a{at}"
+        rows.append((i, " ".join(own)))
+    docs = frame(spark, rows)
+    known = simhash.described(docs, 5, 0.8, 2, "doc_id", "text").dropDuplicates(["node"]).selectExpr("*", "node as root")
+    known, held, keep = known.cache(), {}, jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", lambda df, tag: held.setdefault(tag, keep(df, tag)))
+    found = jaccard.candidates(known, 0.8).cache()
+    assert held["met"].count() <= known.selectExpr("sum(length(prefix) div 8) as n").first().n
+    got = {(x.a, x.b) for x in jaccard.verified(found, docs, 5, 0.8).collect()}
+    node = {i: jaccard.nodes(h, first)[0] for i, t in rows for h, first in [jaccard.sets(W.split(pa.array([t])), 5)]}
+    own = {node[i]: set(shingles(t, 5)) for i, t in rows}
+    want = {(a, b) for a in own for b in own if a < b and len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b])}
+    assert got == want and len(want) > 2 * len(own) and 2 * found.select("cell").distinct().count() < found.count()
