@@ -1,9 +1,9 @@
 """The difference-cover suffix order as Spark jobs, for text that is too much for one task.
 
 The text is a table of places and symbols. Triples at places that aren't multiples of three are sorted by range and
-named; while names repeat and cover fewer than `reach` symbols of the text, the string of names is ordered in the same
-way; then the other suffixes are merged in by counting, in two sorts, how many stand below each. Suffixes that agree on
-`reach` symbols may come in any order, next to each other. The driver learns a few numbers for each partition.
+named; while names repeat, the string of names is ordered in the same way; then the other suffixes are merged in by counting,
+in two sorts, how many stand below each. A string that fits one task is ordered there, by the same algorithm in numpy. The
+driver learns a few numbers for each partition.
 
 Cases: an empty text gives no rows. Places are 0, 1, ... without gaps; symbols are positive.
 """
@@ -17,10 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import drop_materialized, materialize
+from quillspark.llm.common import drop_materialized, materialize, tidy
+from quillspark.llm.order import suffix_order
 
 #: Rows that a task sorts, about; neighbouring places that are looked at together.
 TASK_ROWS, NEAR = 2_000_000, 1 << 16
+#: Symbols of a string that one task orders.
+WHOLE = 2_500_000
 
 
 def numbered(df: DataFrame, n: int, keys: list[str], rest: list[str], tag: str) -> DataFrame:
@@ -64,8 +67,27 @@ def with_next(df: DataFrame, place: str, cols: list[str], steps: int) -> DataFra
     return dealt.select("*", *ahead).where(F.col("__block") == block).drop("__block")
 
 
-def ordered(text: DataFrame, n: int, reach: int, covered: int = 1) -> DataFrame:
-    """text: place and symbol, n rows. Returns place and rank: ascending as the suffixes do, as far as `reach` symbols tell. covered: letters of the first text that a symbol stands for."""
+def ordered_at_once(text: DataFrame, n: int) -> DataFrame:
+    """As ordered(), in one task."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols = np.zeros(n, dtype=np.int64)
+        for batch in batches:
+            symbols[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+        order = suffix_order(symbols)
+        for at in range(0, n, NEAR):
+            some = order[at : at + NEAR]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.arange(at + 1, at + 1 + len(some)))], names=["place", "rank"])
+
+    return materialize(text.select("place", "symbol").coalesce(1).mapInArrow(run, "place long, rank long"), "cover-ranks")
+
+
+def ordered(text: DataFrame, n: int, whole: int | None = None) -> DataFrame:
+    """text: place and symbol, n rows. Returns place and rank: 1, 2, ... in the order of the suffixes. whole: symbols of a string that one task orders (WHOLE)."""
+    whole = WHOLE if whole is None else whole
+    if 0 < n <= whole:
+        return ordered_at_once(text, n)
     if n % 3 == 1:  # the last suffix of the first class needs something after it
         text = text.union(text.sparkSession.createDataFrame([(n, 0)], "place long, symbol long"))
     size = n + (n % 3 == 1)
@@ -76,9 +98,9 @@ def ordered(text: DataFrame, n: int, reach: int, covered: int = 1) -> DataFrame:
     state = names.agg(F.max("name"), F.count("*")).first()
     if state[0] is None:
         return text.select("place", F.lit(1).cast("long").alias("rank")).where(F.col("place") < n)
-    if state[0] < state[1] and covered * 3 < reach:
+    if state[0] < state[1]:
         shorter = names.select(F.when(F.col("place") % 3 == 1, F.expr("place div 3")).otherwise(F.expr("place div 3") + ones).alias("place"), F.col("name").alias("symbol"))
-        ranks = ordered(shorter, state[1], reach, covered * 3)
+        ranks = ordered(shorter, state[1], whole)
         ranks = ranks.select(F.when(F.col("place") < ones, F.col("place") * 3 + 1).otherwise((F.col("place") - ones) * 3 + 2).alias("at"), "rank")
     else:
         ranks = names.select(F.col("place").alias("at"), F.col("name").alias("rank"))
@@ -96,10 +118,9 @@ def ordered(text: DataFrame, n: int, reach: int, covered: int = 1) -> DataFrame:
     return out
 
 
-def repeated(text: DataFrame, n: int, starts: DataFrame, reach: int) -> DataFrame:
-    """starts: place, and the digest (d1, d2) of the string that begins there and is compared, of up to `reach` letters. Returns the places whose string also begins at another of them."""
-    ranked = starts.join(ordered(text, n, reach), "place").withColumn("kind", F.lit(1))
-    # suffixes that agree so far share no rank, but stand together
+def repeated(ranks: DataFrame, n: int, starts: DataFrame) -> DataFrame:
+    """ranks: what ordered() gives. starts: place, and the digest (d1, d2) of the string that begins there and is compared. Returns the places whose string also begins at another of them."""
+    ranked = starts.join(ranks, "place").withColumn("kind", F.lit(1))
     row = numbered(ranked, n, ["rank", "place"], ["place", "d1", "d2"], "cover-order").select(F.col("others").alias("row"), "place", "d1", "d2")
     pairs = with_next(row, "row", ["place", "d1", "d2", "row"], 1).where("row1 = row + 1 and d1 = d11 and d2 = d21")
     return pairs.select(F.explode(F.array("place", "place1")).alias("place")).distinct()

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import cover
 from quillspark.llm.common import drop_materialized, input_bytes, materialize, tidy
+from quillspark.llm.order import suffix_order
 from quillspark.llm.words import mix
 
 #: Bytes hashed for grouping, and a quarter of the least length at most.
@@ -41,60 +42,6 @@ BATCH_BYTES, GROUP_BYTES = 1 << 20, 2 << 20
 _ODD = 0x9E3779B97F4A7C15
 
 
-def rank(values: np.ndarray) -> tuple[np.ndarray, int]:
-    """Dense ranks from 0, and how many."""
-    top = int(values.max()) + 1 if len(values) else 0
-    if top <= 1 << 24:
-        there = np.zeros(top, dtype=np.int64)
-        there[values] = 1
-        number = np.cumsum(there)
-        return number[values] - 1, int(number[-1]) if top else 0
-    kinds, where = np.unique(values, return_inverse=True)
-    return where, len(kinds)
-
-
-def suffix_order(t: np.ndarray) -> np.ndarray:
-    """Positions of t (positive integers) in the order of their suffixes, by a difference cover modulo three."""
-    n = len(t)
-    if n < 8:
-        return np.array(sorted(range(n), key=lambda i: t[i:].tolist()), dtype=np.int64)
-    kinds = int(t.max()) + 1
-    padded = np.concatenate([t, np.zeros(4, dtype=t.dtype)]).astype(np.int64)
-    ones, twos = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)  # where 3 divides n - 1, an empty suffix ends the ones
-    sample = np.concatenate([ones, twos])
-    pair = padded[:-1] * kinds + padded[1:]
-    if kinds**2 * max(kinds, n + 4) >= 1 << 62:
-        pair = rank(pair)[0]
-    names, count = rank(pair[sample] * kinds + padded[sample + 2])
-    if count < len(sample):
-        order = suffix_order(names + 1)
-        names = np.empty(len(sample), dtype=np.int64)
-        names[order] = np.arange(len(sample))
-    else:
-        order = np.empty(len(sample), dtype=np.int64)
-        order[names] = np.arange(len(sample))
-    ranks = np.zeros(n + 4, dtype=np.int64)
-    ranks[sample] = names + 1
-    sample = sample[order]
-    sample = sample[sample < n]
-    rest = np.arange(0, n, 3)
-    width = n + 4
-    near = padded[rest] * width + ranks[rest + 1]
-    by = np.argsort(near, kind="stable")
-    rest, near = rest[by], near[by]
-    is_one = sample % 3 == 1
-    first, second = sample[is_one], sample[~is_one]
-    below = np.searchsorted(padded[first] * width + ranks[first + 1], near)
-    below += np.searchsorted(pair[second] * width + ranks[second + 2], pair[rest] * width + ranks[rest + 2])
-    out = np.empty(n, dtype=np.int64)
-    at = below + np.arange(len(rest))
-    out[at] = rest
-    free = np.ones(n, dtype=bool)
-    free[at] = False
-    out[free] = sample
-    return out
-
-
 def repeated(data: np.ndarray, order: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """Of the starts (sorted) those whose next `length` bytes also begin at another start. data: bytes, 0 between texts. order: of its suffixes."""
     wanted = np.zeros(len(data), dtype=bool)
@@ -245,7 +192,7 @@ def ordered(rows: DataFrame, sizes: list[int]) -> DataFrame:
 
 
 def ordered_by_spark(pieces: DataFrame, sizes: list[int]) -> DataFrame:
-    """As ordered(), for snippets of groups that are too large for one task: their concatenation is ordered by cover.repeated()."""
+    """As ordered(), for snippets of groups that are too large for one task: their concatenation is ordered by cover.ordered(), once for all sizes."""
     spark = pieces.sparkSession
     own = materialize(pieces.dropDuplicates(["hash", "digest"]), "large")
     total = own.agg(F.count("*"), F.sum(F.length("data") + 1)).first()
@@ -270,6 +217,7 @@ def ordered_by_spark(pieces: DataFrame, sizes: list[int]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(first + np.arange(len(text))), pa.array(text)], names=["place", "symbol"])
 
     text = materialize(placed.select("data", "first").mapInArrow(symbols, "place long, symbol long"), "large-text")
+    ranks = cover.ordered(text, int(total[1]))  # one order for all sizes
     out = None
     for size in sizes:
 
@@ -282,7 +230,7 @@ def ordered_by_spark(pieces: DataFrame, sizes: list[int]) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(first + np.arange(n)), pa.array(keys[:, 0]), pa.array(keys[:, 1])], names=["place", "d1", "d2"])
 
         starts = placed.select("data", "starts", "first").mapInArrow(digests, "place long, d1 long, d2 long")
-        hits = cover.repeated(text, int(total[1]), starts, size)
+        hits = cover.repeated(ranks, int(total[1]), starts)
         # back from places to snippets: both are sorted by range of places, a block of places at a time
         block = F.floor(F.col("place") / F.lit(cover.NEAR))
         spans = placed.select("hash", "digest", F.col("first"), (F.col("first") + F.col("starts") - 1).alias("last"))

@@ -641,3 +641,30 @@ def test_dense_groups_leave_as_sets(spark, monkeypatch):
     own = {node[i]: set(shingles(t, 5)) for i, t in rows}
     want = {(a, b) for a in own for b in own if a < b and len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b])}
     assert got == want and len(want) > 2 * len(own) and 2 * found.select("cell").distinct().count() < found.count()
+
+
+@pytest.mark.parametrize("n,top,whole", [(0, 1, 0), (1, 1, 0), (4, 2, 0), (31, 2, 0), (200, 3, 0), (200, 3, 100), (301, 1, 250)])
+def test_distributed_order_down_to_one_task(spark, n, top, whole):
+    from quillspark.llm import cover as C
+
+    t = np.random.default_rng(n).integers(1, top + 1, n)
+    df = spark.createDataFrame([(i, int(x)) for i, x in enumerate(t)], "place long, symbol long")
+    got = sorted(C.ordered(df, n, whole=whole).collect(), key=lambda x: x["rank"])
+    assert [x["place"] for x in got] == sorted(range(n), key=lambda i: t[i:].tolist()) and [x["rank"] for x in got] == list(range(1, n + 1))
+
+
+@pytest.mark.parametrize("whole", [0, 4000, None])
+def test_large_groups_are_ordered_once(spark, monkeypatch, whole):
+    """One suffix order serves both lengths, and what fits one task takes one job; the results are those of brute force."""
+    from quillspark.llm import cover as C
+
+    if whole is not None:
+        monkeypatch.setattr(C, "WHOLE", whole)
+    r, tags, keep = np.random.default_rng(6), [], C.materialize
+    monkeypatch.setattr(C, "materialize", lambda df, tag: (tags.append(tag), keep(df, tag))[1])
+    word = lambda: "".join(chr(97 + x) for x in r.integers(0, 26, 6))
+    passage = " ".join(word() for _ in range(14))
+    rows = [(i, " ".join([word() for _ in range(int(r.integers(0, 6)))] + [passage] + [word() for _ in range(int(r.integers(0, 6)))])) for i in range(40)]
+    got = sorted(map(tuple, suffixes.dedup(frame(spark, rows), 60, group_bytes=200, report=40).collect()))
+    assert [x[:5] for x in got] == sorted(cover(rows, 60)) and [(x[0], x[5]) for x in got] == sorted((x[0], x[2]) for x in cover(rows, 40))
+    assert tags.count("cover-order") == 2 and len(tags) == len(set(tags)) + 1 if whole is None else tags.count("cover-ranks") > 1, tags
