@@ -39,6 +39,8 @@ TASK_KEYS = 400_000
 SQUARE = 1024
 #: A group of more fingerprints than this under one key is split into blocks, and the blocks' pairs are dealt out.
 BLOCK = 20_000
+#: Into how many groups likely_links() splits a word's bits; bits by which a word may differ beyond its share of the total.
+BANDS, SLACK = 5, 4
 
 
 def fingerprints(docs: DataFrame, shingle: int, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,14 +211,19 @@ def meet(key: np.ndarray, words: np.ndarray, rule: Rule) -> tuple[np.ndarray, np
     return np.concatenate(a), np.concatenate(b)
 
 
+def sampled(fps: DataFrame, names: list[str]) -> tuple[int, np.ndarray]:
+    """How many fingerprints there are, and a bounded sample of their words."""
+    some = fps.select(*names).orderBy(F.xxhash64(*names)).limit(PLAN_SAMPLE).collect()
+    return fps.count(), np.array([tuple(r) for r in some], dtype=np.int64).view(np.uint64).reshape(-1, len(names))
+
+
 def links(fps: DataFrame, radius: int, total: int | None = None, probes: int = 1, block: int = BLOCK) -> DataFrame:
     """fps: distinct fingerprints, a number `node` and words w0, w1, ... Returns links a, b (nodes) that connect all that lie near each other.
 
     Near means: one of the first `probes` words differs in at most radius bits, and all words together in at most total.
     """
     names = [c for c in fps.columns if c.startswith("w")]
-    n = fps.count()
-    sample = np.array([tuple(r) for r in fps.select(*names).orderBy(F.xxhash64(*names)).limit(PLAN_SAMPLE).collect()], dtype=np.int64).view(np.uint64).reshape(-1, len(names))
+    n, sample = sampled(fps, names)
     found = None
     for probe in range(probes):
         plan = make_plan(sample[:, probe], n, radius)
@@ -226,6 +233,21 @@ def links(fps: DataFrame, radius: int, total: int | None = None, probes: int = 1
     return found
 
 
+def likely_links(fps: DataFrame, total: int, block: int = BLOCK) -> DataFrame:
+    """Links as links() gives them, of fingerprints that differ in at most total bits and have one of BANDS groups of bits of a word in common. A pair can be missed, so an exact way must find the rest.
+
+    No bits are cleared, so a fingerprint is filed words * BANDS times whatever the size of the table.
+    """
+    names = [c for c in fps.columns if c.startswith("w")]
+    n, sample = sampled(fps, names)
+    found = None
+    for probe in range(len(names)):
+        plan = make_plan(sample[:, probe], n, BANDS - 1, most=0)
+        some = _links(fps, plan, Rule(probe, total // len(names) + SLACK, total), names, max(12, n * BANDS // TASK_KEYS), block)
+        found = some if found is None else found.union(some)
+    return found
+
+
 def _links(fps: DataFrame, plan: Plan, rule: Rule, names: list[str], parts: int, block: int) -> DataFrame:
     fields = "node long, " + ", ".join(f"{c} long" for c in names)
 
@@ -356,8 +378,8 @@ def fewer(pairs: DataFrame) -> DataFrame:
 def thin(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Whole rows of docs, one document of each group of near-duplicates, that of the smallest id. Near-duplicates are texts whose sets of shingles have this Jaccard similarity, exactly, and what such pairs connect.
 
-    SimHash (`words` fingerprints of 64 bits, of sets) finds most links cheaply, of which two a set at most are used; a
-    prefix join finds all that they leave out. Every link is verified on whole sets before components are formed.
+    SimHash (`words` fingerprints of 64 bits, of sets) finds most links cheaply, each fingerprint filed as often in any table,
+    of which two a set at most are used; a prefix join finds all that they leave out. Every link is verified on whole sets before components are formed.
 
     Rows of one id stand or fall together; of equal rows one stays. Rows with a null id stay.
     """
@@ -368,7 +390,7 @@ def thin(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int
     whole, rows = rows, materialize(rows.select("id", "node"), "nodes")
     drop_materialized(whole)
     total = bits_at(similarity, 64 * words)
-    near = J.verified(fewer(J.close(links(known.select("node", *names), total // words, total, words), known, similarity)), docs, shingle, similarity, text_col)
+    near = J.verified(fewer(J.close(likely_links(known.select("node", *names), total), known, similarity)), docs, shingle, similarity, text_col)
     rooted = known.join(components(near).withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node"))
     maybe = J.close(J.candidates(rooted, similarity), known, similarity)
     every = near.union(J.verified(maybe, docs, shingle, similarity, text_col))

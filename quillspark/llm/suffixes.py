@@ -219,6 +219,15 @@ def ordered_by_spark(pieces: DataFrame, sizes: list[int]) -> DataFrame:
     text = materialize(placed.select("data", "first").mapInArrow(symbols, "place long, symbol long"), "large-text")
     ranks = cover.ordered(text, int(total[1]))  # one order for all sizes
     out = None
+
+    @tidy
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Places come sorted; runs of them that stay within a block of places."""
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            cut = np.flatnonzero((np.diff(at) > 1) | (at[1:] % cover.NEAR == 0))
+            yield pa.RecordBatch.from_arrays([pa.array(at[np.concatenate([[0], cut + 1])[: len(at)]]), pa.array(at[np.concatenate([cut, [len(at) - 1]])[: len(at)]])], names=["from", "to"])
+
     for size in sizes:
 
         @tidy
@@ -231,13 +240,17 @@ def ordered_by_spark(pieces: DataFrame, sizes: list[int]) -> DataFrame:
 
         starts = placed.select("data", "starts", "first").mapInArrow(digests, "place long, d1 long, d2 long")
         hits = cover.repeated(ranks, int(total[1]), starts)
-        # back from places to snippets: both are sorted by range of places, a block of places at a time
-        block = F.floor(F.col("place") / F.lit(cover.NEAR))
+        # back from places to snippets: runs of places meet the snippets of their block
+        block = lambda c: F.floor(F.col(c) / F.lit(cover.NEAR))
+        some = hits.repartition(block("place")).sortWithinPartitions("place").mapInArrow(joined, "from long, to long").withColumn("block", block("from"))
         spans = placed.select("hash", "digest", F.col("first"), (F.col("first") + F.col("starts") - 1).alias("last"))
-        spans = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / cover.NEAR), F.floor(F.col("last") / cover.NEAR))))
-        found = hits.withColumn("block", block).join(spans, "block").where("place between first and last")
-        one = found.select("hash", "digest", F.array(F.struct((F.col("place") - F.col("first")).alias("from"), (F.col("place") - F.col("first")).alias("to"), F.lit(size).cast("int").alias("size"))).alias("runs"))
+        spans = spans.withColumn("block", F.explode(F.sequence(block("first"), block("last"))))
+        found = some.join(spans, "block").where("from between first and last")
+        one = found.select("hash", "digest", F.struct((F.col("from") - F.col("first")).alias("from"), (F.col("to") - F.col("first")).alias("to"), F.lit(size).cast("int").alias("size")).alias("run"))
         out = one if out is None else out.union(one)
+    out = materialize(out.groupBy("hash", "digest").agg(F.collect_list("run").alias("runs")), "large-verdicts")
+    for done in (own, ranged, placed, text, ranks):
+        drop_materialized(done)
     return out
 
 

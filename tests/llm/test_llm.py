@@ -668,3 +668,30 @@ def test_large_groups_are_ordered_once(spark, monkeypatch, whole):
     got = sorted(map(tuple, suffixes.dedup(frame(spark, rows), 60, group_bytes=200, report=40).collect()))
     assert [x[:5] for x in got] == sorted(cover(rows, 60)) and [(x[0], x[5]) for x in got] == sorted((x[0], x[2]) for x in cover(rows, 40))
     assert tags.count("cover-order") == 2 and len(tags) == len(set(tags)) + 1 if whole is None else tags.count("cover-ranks") > 1, tags
+
+
+def test_large_groups_give_runs(spark):
+    """Of a snippet of a large group one row comes back, with runs of starts, not a row for each start."""
+    rows = [(1, n, bytearray(b"%c" % (97 + n) + b"0123456789abcdefghijklmnopqrst"), 12) for n in range(4)]
+    pieces = spark.createDataFrame(rows, "hash long, digest long, data binary, starts long")
+    got = [(x.digest, sorted((y["from"], y["to"], y["size"]) for y in x.runs)) for x in suffixes.ordered_by_spark(pieces, [8, 20]).collect()]
+    assert sorted(got) == [(n, [(1, 11, 8), (1, 11, 20)]) for n in range(4)]
+
+
+def test_thin_files_as_often_in_any_table(spark, monkeypatch):
+    """The number of keys under which a fingerprint is filed doesn't grow with the table (planned here for 10,000 times its rows); the links left out are found."""
+    r, keys, plan = np.random.default_rng(9), [], simhash.make_plan
+
+    def larger(sample, n, *some, **more):
+        found = plan(sample, n * 10_000, *some, **more)
+        keys.append(len(simhash.file_keys(sample, found)[0]) / len(sample))
+        return found
+
+    monkeypatch.setattr(simhash, "make_plan", larger)
+    rows = []
+    for i in range(60):
+        own = [f"w{x}" for x in r.integers(0, 10**6, 80)]
+        rows.append((i, " ".join(own)))
+        rows.append((100 + i, " ".join([*own[: 78 - i % 3], "x", "y"])))  # similar by 0.92 or more
+    got = {x.doc_id for x in simhash.thin(frame(spark, rows)).collect()}
+    assert got == set(range(60)) and max(keys) <= 10, keys
