@@ -113,7 +113,7 @@ def ordered(text: DataFrame, n: int, whole: int | None = None) -> DataFrame:
     rest = first.where("kind = 0").select("place", (F.col("zeros") + F.col("others") + 1).alias("x")).join(second.where("kind = 0").select("place", F.col("others").alias("y")), "place").select("place", (F.col("x") + F.col("y")).alias("rank"))
     every = merged.union(rest).where(F.col("place") < n)
     out = materialize(every.withColumn("rank", F.col("rank") - (size - n)), "cover-ranks")  # what was added at the end stands below all others
-    for done in (text, known):
+    for done in (text, names, ranks, known, first, second):
         drop_materialized(done)
     return out
 

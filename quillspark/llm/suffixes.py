@@ -13,7 +13,10 @@ groups at a time make one text, whose suffixes are ordered as above. So only tex
 is ordered, and a passage in a million documents once.
 
 A group with more than GROUP_BYTES of different snippets (a passage that stands in very many different surroundings) is
-ordered by the distributed form of the same algorithm (llm/cover.py): Spark sorts the triples by range.
+ordered by the distributed form of the same algorithm (llm/cover.py): Spark sorts the triples by range. Where such groups
+have more than TRIM_BYTES together, their snippets are trimmed first, for each length, to the starts whose string has a
+rolling hash that another start has too: a string of another hash begins nowhere else. Without their surroundings most
+snippets are equal, and equal ones are ordered once; what is left is ordered as before, so a chance hash adds work only.
 
 Cases: null texts count as empty; texts shorter than `length` lose nothing. Equal rows are documents like others, so
 both lose what they share. Repetition inside one document counts, overlaps too. Empty tables give empty ones.
@@ -39,6 +42,8 @@ from quillspark.llm.words import mix
 SEED = 50
 #: Bytes of snippets whose suffixes are ordered at a time, and of one group at most.
 BATCH_BYTES, GROUP_BYTES = 1 << 20, 2 << 20
+#: Bytes of snippets of large groups that are ordered without being trimmed.
+TRIM_BYTES = 2 << 20
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -254,6 +259,89 @@ def ordered_by_spark(pieces: DataFrame, sizes: list[int]) -> DataFrame:
     return out
 
 
+def trimmed(own: DataFrame, sizes: list[int]) -> DataFrame:
+    """own: sid (a number), hash, digest, data, starts of distinct snippets. Returns the runs of starts whose string of a size may begin at another start: hash, size, digest of the bytes it needs, these bytes (data), starts, and the snippet's digest (of) and where in it the run begins (at)."""
+
+    @tidy
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+                cols: list[list] = [[np.zeros(0, np.int64)] for _ in range(3)]
+                for sid, data, starts in zip(*(part.column(c).to_pylist() for c in range(3)), strict=True):
+                    up, down = powers(len(data) + 1)
+                    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+                    np.cumsum((np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+                    for k, size in enumerate(sizes):
+                        n = min(starts, len(data) - size + 1)
+                        if n > 0:
+                            key = mix((sums[size : size + n] - sums[:n]) * down[:n]) ^ mix(np.uint64([size]))
+                            for c, x in zip(cols, (key.view(np.int64), np.full(n, sid), np.arange(n) * len(sizes) + k), strict=True):
+                                c.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["key", "sid", "place"])
+
+    @tidy
+    def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by key; those that aren't alone under theirs."""
+        held, kept = np.zeros((3, 0), np.int64), False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.concatenate([held, np.stack([batch.column(i).to_numpy() for i in range(3)])], axis=1)
+            same = rows[0, 1:] == rows[0, :-1]
+            keep = np.concatenate([[kept], same]) | np.concatenate([same, [False]])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[i, :-1][keep[:-1]]) for i in (1, 2)], names=["sid", "place"])
+            held, kept = rows[:, -1:], bool(keep[-1])
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(held[i]) for i in (1, 2)], names=["sid", "place"])
+
+    @tidy
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                out: list[tuple] = []
+                for h, d, data, places in zip(*(part.column(c).to_pylist() for c in range(4)), strict=True):
+                    places = np.sort(np.array(places, dtype=np.int64))
+                    for k, size in enumerate(sizes):
+                        for a, b in ranges(places[places % len(sizes) == k] // len(sizes)):
+                            some = data[a : b + size]
+                            out.append((h, size, np.uint64(xxhash.xxh3_64_intdigest(some)).view(np.int64), some, b - a + 1, d, a))
+                cols = list(zip(*out, strict=True)) or [()] * 7
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["hash", "size", "digest", "data", "starts", "of", "at"])
+
+    filed = own.select("sid", "data", "starts").mapInArrow(keys, "key long, sid long, place long")
+    several = filed.repartition("key").sortWithinPartitions("key").mapInArrow(twice, "sid long, place long").groupBy("sid").agg(F.collect_list("place").alias("places"))
+    return own.join(several, "sid").select("hash", "digest", "data", "places").mapInArrow(cut, "hash long, size int, digest long, data binary, starts long, of long, at long")
+
+
+def ordered_large(pieces: DataFrame, sizes: list[int], group_bytes: int) -> DataFrame:
+    """As ordered(), for snippets of groups of more than group_bytes."""
+    own = materialize(pieces.dropDuplicates(["hash", "digest"]).withColumn("sid", F.monotonically_increasing_id()), "large-own")
+    if own.agg(F.sum(F.length("data"))).first()[0] <= TRIM_BYTES:
+        return ordered_by_spark(own.drop("sid"), sizes)
+    some = materialize(trimmed(own, sizes), "trimmed")
+    each = materialize(some.groupBy("hash", "size", "digest").agg(F.count("*").alias("n"), F.first("data").alias("data"), F.first("starts").alias("starts")), "trimmed-classes")
+    large = materialize(each.groupBy("hash", "size").agg(F.sum(F.length("data")).alias("bytes")).where(F.col("bytes") > group_bytes).select("hash", "size", F.lit(True).alias("large")), "trimmed-large")
+    still = {r.size_ for r in large.select(F.col("size").alias("size_")).distinct().collect()}
+    parts = max(12, input_bytes(each) // (8 << 20))
+    run = F.struct(F.lit(0).cast("long").alias("from"), (F.col("starts") - 1).alias("to"), F.col("size"))
+    verdicts = each.where("n > 1").select("hash", "digest", "size", F.array(run).alias("runs"))
+    for size in sizes:
+        these = each.where(F.col("size") == size).join(large, ["hash", "size"], "left").select("hash", "digest", "data", "starts", "large")
+        found = ordered(these.where("large is null").drop("large").repartition(parts, "hash").sortWithinPartitions("hash", "digest"), [size])
+        if size in still:
+            found = found.union(ordered_by_spark(these.where("large").drop("large"), [size]))
+        verdicts = verdicts.union(found.select("hash", "digest", F.lit(size).alias("size"), "runs"))
+    verdicts = materialize(verdicts, "trimmed-verdicts")
+    back = some.select("hash", "digest", "size", "of", "at").join(verdicts, ["hash", "digest", "size"])
+    moved = F.transform("runs", lambda r: F.struct((r["from"] + F.col("at")).alias("from"), (r["to"] + F.col("at")).alias("to"), r["size"].alias("size")))
+    out = back.select("hash", F.col("of").alias("digest"), moved.alias("runs")).groupBy("hash", "digest").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
+    out = materialize(out, "large-verdicts")
+    for done in (own, some, each, large, verdicts):
+        drop_materialized(done)
+    return out
+
+
 def join_spans(spans: list[dict]) -> list[dict]:
     """Sorted spans as disjoint ones."""
     merged: list[dict] = []
@@ -299,7 +387,7 @@ def removed(docs: DataFrame, length: int, report: int | None, seed: int, id_col:
     whole = lambda k: F.struct(F.lit(0).cast("long").alias("from"), F.least(F.col("one.hi") - F.col("one.lo"), F.col("one.stop") - F.col("one.lo") - k).alias("to"), F.lit(k).cast("int").alias("size"))
     verdicts = verdicts.union(classes.where("n > 1").select("hash", "digest", F.filter(F.array(*map(whole, sizes)), lambda r: r["to"] >= 0).alias("runs")))
     if large.limit(1).count():
-        verdicts = verdicts.union(ordered_by_spark(pieces.where("large"), sizes))
+        verdicts = verdicts.union(ordered_large(pieces.where("large").drop("large"), sizes, group_bytes))
     verdicts = materialize(verdicts, "verdicts")
     hits = again.select("hash", "digest", "k1", "k2", "lo").join(verdicts, ["hash", "digest"])
     hits = hits.select("k1", "k2", F.explode(F.transform("runs", lambda r: F.struct(r["size"].alias("size"), (F.col("lo") + r["from"]).alias("start"), (F.col("lo") + r["to"] + r["size"]).alias("end")))).alias("span"))

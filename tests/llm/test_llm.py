@@ -695,3 +695,17 @@ def test_thin_files_as_often_in_any_table(spark, monkeypatch):
         rows.append((100 + i, " ".join([*own[: 78 - i % 3], "x", "y"])))  # similar by 0.92 or more
     got = {x.doc_id for x in simhash.thin(frame(spark, rows)).collect()}
     assert got == set(range(60)) and max(keys) <= 10, keys
+
+
+def test_large_groups_lose_their_surroundings(spark, monkeypatch):
+    """A passage in many surroundings, too much for one task: without the surroundings it is small, and isn't ordered by distributed sorts."""
+    r = np.random.default_rng(7)
+    word = lambda: "".join(chr(97 + x) for x in r.integers(0, 26, 6))
+    passage = " ".join(word() for _ in range(14))
+    rows = [(i, " ".join([word() for _ in range(int(r.integers(0, 9)))] + [passage[: int(r.integers(70, 98))]] + [word() for _ in range(int(r.integers(0, 9)))])) for i in range(80)]
+    want, more = sorted(cover(rows, 60)), sorted((x[0], x[2]) for x in cover(rows, 40))
+    monkeypatch.setattr(suffixes, "TRIM_BYTES", 0)
+    for group in (200, 4000):
+        got = sorted(map(tuple, suffixes.dedup(frame(spark, rows), 60, group_bytes=group, report=40).collect()))
+        assert [x[:5] for x in got] == want and [(x[0], x[5]) for x in got] == more
+        monkeypatch.setattr(suffixes.cover, "ordered", None)  # the larger groups aren't ordered by Spark
