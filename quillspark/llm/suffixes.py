@@ -264,8 +264,9 @@ def trimmed(own: DataFrame, sizes: list[int]) -> DataFrame:
 
     @tidy
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Starts that share a key here are known to stay: they go on by sid, with a negative place, and two rows without a sid tell the others of the key. So few rows meet under a common key."""
         for batch in batches:
-            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+            for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
                 cols: list[list] = [[np.zeros(0, np.int64)] for _ in range(3)]
                 for sid, data, starts in zip(*(part.column(c).to_pylist() for c in range(3)), strict=True):
                     up, down = powers(len(data) + 1)
@@ -277,7 +278,14 @@ def trimmed(own: DataFrame, sizes: list[int]) -> DataFrame:
                             key = mix((sums[size : size + n] - sums[:n]) * down[:n]) ^ mix(np.uint64([size]))
                             for c, x in zip(cols, (key.view(np.int64), np.full(n, sid), np.arange(n) * len(sizes) + k), strict=True):
                                 c.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["key", "sid", "place"])
+                key, who, place = map(np.concatenate, cols)
+                _, number, count = np.unique(key, return_inverse=True, return_counts=True)
+                stay = count[number] > 1
+                told = np.repeat(np.unique(key[stay]), 2)
+                none = np.full(len(told), -1)
+                rows = np.concatenate([key, told]), np.concatenate([who, none]), np.concatenate([np.where(stay, -1 - place, place), none * 0])
+                rows[0][: len(key)][stay] = who[stay]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["key", "sid", "place"])
 
     @tidy
     def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,10 +297,13 @@ def trimmed(own: DataFrame, sizes: list[int]) -> DataFrame:
             rows = np.concatenate([held, np.stack([batch.column(i).to_numpy() for i in range(3)])], axis=1)
             same = rows[0, 1:] == rows[0, :-1]
             keep = np.concatenate([[kept], same]) | np.concatenate([same, [False]])
-            yield pa.RecordBatch.from_arrays([pa.array(rows[i, :-1][keep[:-1]]) for i in (1, 2)], names=["sid", "place"])
+            yield found(rows[:, :-1], keep[:-1])
             held, kept = rows[:, -1:], bool(keep[-1])
-        if kept:
-            yield pa.RecordBatch.from_arrays([pa.array(held[i]) for i in (1, 2)], names=["sid", "place"])
+        yield found(held, np.full(held.shape[1], kept))
+
+    def found(rows: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
+        _, sid, place = rows[:, (keep | (rows[2] < 0)) & (rows[1] >= 0)]
+        return pa.RecordBatch.from_arrays([pa.array(sid), pa.array(np.where(place < 0, -1 - place, place))], names=["sid", "place"])
 
     @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
